@@ -83,7 +83,8 @@ def fly(prob: list[float], size: list[int], draw: np.random.Generator) -> list[f
 def land(prob: list[float], size: list[int], draw: np.random.Generator) -> list[float]:
     """All probabilities 0 or 1, with the sums of words and documents as near as the landing allows."""
     open_ = [k for k, p in enumerate(prob) if NEAR < p < 1 - NEAR]
-    ground = open_[:AHEAD]
+    large = sorted(open_, key=lambda k: -size[k])[: AHEAD * 2 // 3]  # what is too large to be made up for in flight
+    ground = large + [k for k in open_ if k not in large][: AHEAD - len(large)]
     parked = {k: prob[k] for k in ground}
     prob = fly([1.0 if k in parked else p for k, p in enumerate(prob)], size, draw)
     for k, p in parked.items():
