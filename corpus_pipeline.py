@@ -1,4 +1,31 @@
-STAGES = []
+"""The corpus pipeline: language, near duplicates, benchmark passages, source mix, shards."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from linkloom.llm import stages
+from linkloom.llm._spark import shared_folder
+
+STAGES = [
+    ("language_id", stages.language),
+    ("near_dedup", stages.near_dedup),
+    ("decontamination", stages.decontamination),
+    ("mixing", stages.mixing),
+    ("sharding", stages.sharding),
+]
+
+#: No SQL expresses minima, profiles and flights; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, and read from there from now on."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:  # a local session, as in tests
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a temporary one only where none is set, as in tests."""
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, and read from there from now on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

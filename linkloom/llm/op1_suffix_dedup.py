@@ -31,6 +31,8 @@ WIDTH, GRAM = 50, 20
 POSITION = 25
 #: Each bucket is sorted in this many parts, by hash, so that the arrays of the sort stay in a processor's cache.
 PARTS = 16
+#: Documents of a group, which one worker holds at once.
+PER_GROUP = 512
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -100,7 +102,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
     counts as the largest. Documents shorter than ``width`` stay whole. Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts, groups = dealt(docs)
+    parts, _ = dealt(docs, PER_GROUP)
     buckets = 2 * shuffle_parts(spark)
 
     def anchors(group: pa.Table) -> pa.Table:

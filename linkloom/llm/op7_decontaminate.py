@@ -177,5 +177,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(shards, RESULT_DDL)
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that no window of the benchmark occurs in, with all their columns. Rows with a null or empty text stay."""
+    blocks = benchmark_blocks(benchmark, window)
+    at = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(lo, 1024) for lo in range(0, whole.num_rows, 1024)):
+                words = [words_of((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column(at)]
+                keep = np.ones(batch.num_rows, bool)
+                for block in blocks:
+                    get = block.value.vocabulary.get
+                    keep[matches([np.array([get(w, 0) for w in x], np.int64) for x in words], block.value, window)[0]] = False
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

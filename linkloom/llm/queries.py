@@ -6,11 +6,18 @@ import importlib
 
 MODULES = {
     "op1_suffix_dedup": "op1_suffix_dedup",
+    "op2_licences": "op2_licences",
+    "op3_private": "op3_private",
     "op4_mixing": "op4_mixing",
+    "op5_minhash": "op5_minhash",
+    "op6_language": "op6_language",
     "op7_decontamination": "op7_decontaminate",
     "op8_sharding": "op8_sharding",
     "op9_line_dedup": "op9_line_dedup",
+    "op10_hamming_topk": "op10_hamming_topk",
 }
 QUERIES = {name: getattr(importlib.import_module(f"linkloom.llm.{module}"), name) for name, module in MODULES.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+from linkloom.llm.op10_hamming_topk import ORACLE as HAMMING  # noqa: E402
+
+ORACLE_SQL: dict[str, str] = {"op10_hamming_topk": HAMMING}

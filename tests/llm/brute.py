@@ -92,3 +92,49 @@ def near(docs):
     for i, (d, _) in enumerate(docs):
         least[root(i)] = min(least.get(root(i), d), d)
     return [(d, len(sets[i]), least[root(i)], d == least[root(i)]) for i, (d, _) in enumerate(docs)]
+
+
+def phrases(docs, table):
+    out = []
+    for d, t in docs:
+        w = words(t)
+        at = [(i, label) for p, label in table.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        starts = [i for i, _ in at]
+        out.append((d, len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))))
+    return out
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def private(docs):
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    out = []
+    for d, t in docs:
+        spans, n = [], []
+        for kind, pattern in kinds.items():
+            found = []
+            for m in re.finditer(pattern, t or ""):
+                v = m.group()
+                digits = re.sub("[^0-9]", "", v)
+                if kind == "ip" and any(int(x) > 255 for x in v.split(".")):
+                    continue
+                if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
+                    continue
+                if kind == "phone" and not 9 <= len(digits) <= 15:
+                    continue
+                found.append(f"{kind}:{m.start()}:{m.end()}")
+            n.append(len(found))
+            spans += found
+        out.append((d, *n, hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    return out
