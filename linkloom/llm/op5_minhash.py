@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm._docs import LAST_ID, LOWER_BYTES, table
-from linkloom.llm._spark import checkpointed
+from linkloom.llm._spark import checkpointed, small
 
 SHINGLE, PERCENT = 5, 80
 #: 32 bands of 4 minima: a pair at a similarity of 0.8 shares none with a probability of 5e-8.
@@ -121,8 +121,8 @@ def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
                     keep.append(False)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    have = docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles binary")
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    have = docs.withColumnRenamed("doc_id", "id").join(small(wanted, wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles binary")
     both = (
         pairs.join(have.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         .join(have.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm._docs import table
-from linkloom.llm._spark import checkpointed
+from linkloom.llm._spark import checkpointed, small
 from linkloom.llm.op4_mixing import mix
 from linkloom.llm.op5_minhash import near_duplicates
 from linkloom.llm.op6_language import UNKNOWN, identify, learn
@@ -36,13 +36,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id. Rows that share a doc_id are of one group, so one of them stays."""
     docs = columns(docs)
-    kept = checkpointed(near_duplicates(docs).filter("kept").groupBy("doc_id").count())
-    once, more = kept.filter("count = 1"), kept.filter("count > 1")
-    out = docs.alias("d").join(once.alias("k"), same_id("d", "k"), "left_semi")
-    if more.isEmpty():
+    seen = checkpointed(near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
+    gone, more = seen.filter(~F.col("kept")), seen.filter("kept and rows > 1")
+    out = docs.alias("d").join(small(gone, gone.count()).alias("g"), same_id("d", "g"), "left_anti")
+    many = more.count()
+    if not many:
         return out
-    repeated = docs.alias("d").join(more.alias("k"), same_id("d", "k"), "left_semi")
-    return out.unionByName(repeated.dropDuplicates(["doc_id"]))
+    more = small(more, many).alias("m")
+    repeated = docs.alias("d").join(more, same_id("d", "m"), "left_semi").dropDuplicates(["doc_id"])
+    return out.alias("d").join(more, same_id("d", "m"), "left_anti").unionByName(repeated)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
