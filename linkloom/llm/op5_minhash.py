@@ -2,9 +2,10 @@
 
 Documents with one shingle set are one node. Nodes that agree in a band meet in a bucket. A bucket isn't expanded into pairs: its
 most central node (the one with most bucket mates over all bands) leads it, and each member is checked against the leader on full sets.
-Members that this leaves outside their leader's component are then compared by signature with those members of the
-bucket that lie in other components, and what agrees is checked on full sets too. So any two nodes that share a bucket
-end up in one component or have been compared. Components come from alternating large-star and small-star.
+Members that this leaves outside their leader's component (strays) are then held against those members of the bucket that lie in other components.
+Most of these pairs fall to a bound: shingles that no other node of such buckets has can't be common, and too many of them rule a
+link out. What is left is compared by signature, and what agrees is checked on full sets too. So any two nodes that share a bucket end up
+in one component, or can't be linked, or have been compared. Components come from alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm._docs import LAST_ID, LOWER_BYTES, table
+from linkloom.llm._docs import LAST_ID, LOWER_BYTES, pack, shuffle_parts, table, unpack
 from linkloom.llm._spark import checkpointed, small
 
 SHINGLE, PERCENT = 5, 80
@@ -130,6 +131,48 @@ def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     return both.mapInArrow(judged, "a long, b long")
 
 
+def own_shingles(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, own): how many shingles of each of the nodes no other of them has. Nodes that have none are missing.
+
+    A batch sends each of its shingles once, with its holder, or a mark that it has several: a shingle of all texts is one entry a batch.
+    """
+    buckets = shuffle_parts(docs.sparkSession)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for whole in batches:
+            for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+                found = [shingles(x.as_py() or b"", size, hashes) for x in batch.column(1)]
+                holder = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+                sh, holder = held_once(np.concatenate(found or [np.empty(0, np.uint64)]), holder)
+                where = (sh % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(where, kind="stable")
+                cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+                full = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
+                bodies = [pack(sh[order[cuts[b] : cuts[b + 1]]], holder[order[cuts[b] : cuts[b + 1]]]) for b in full]
+                yield pa.record_batch([pa.array(full, pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
+
+    def counted(bucket: pa.Table) -> pa.Table:
+        sh, holder = (np.concatenate(c) for c in zip(*(unpack(b, np.uint64, np.int64) for b in bucket.column("body").to_pylist()), strict=True))
+        ids, n = np.unique((x := held_once(sh, holder)[1])[x != SEVERAL], return_counts=True)
+        return pa.table({"id": pa.array(ids, pa.int64()), "own": pa.array(n, pa.int64())})
+
+    texts = docs.withColumnRenamed("doc_id", "id").join(small(ids, ids.count()), "id", "left_semi").select("id", "text")
+    return texts.mapInArrow(sent, "bucket int, body binary").groupBy("bucket").applyInArrow(counted, "id long, own long").groupBy("id").agg(F.sum("own").alias("own"))
+
+
+SEVERAL = -(2**63)
+
+
+def held_once(sh: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle once: with its holder, or ``SEVERAL``."""
+    order = np.lexsort((holder, sh))
+    sh, holder = sh[order], holder[order]
+    first = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]]) if len(sh) else np.empty(0, np.int64)
+    last = np.r_[first[1:], len(sh)][: len(first)] - 1
+    return sh[first], np.where(holder[first] == holder[last], holder[first], SEVERAL)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes with an edge (a, b); the component is its smallest node."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
@@ -157,7 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     slim = checkpointed(signed(docs, shingle))
-    nodes = slim.filter("n > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("bands").alias("bands"))
+    nodes = slim.filter("n > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("bands").alias("bands"))
     nodes = checkpointed(nodes)
     spread = nodes.select("id", F.explode("bands").alias("band"))
     sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1")
@@ -173,9 +216,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     member = member.withColumn("component", F.coalesce("component", "id"))
     leading = leaders.join(first.withColumnRenamed("node", "leader"), "leader", "left").select("band", F.coalesce("component", "leader").alias("led"), "leader")
     member = checkpointed(member.join(leading, "band").withColumn("stray", F.col("component") != F.col("led")))
+    strays = member.filter("stray")
+    busy = checkpointed(member.join(strays.select("band").distinct(), "band", "left_semi").select("id").distinct())
+    own = own_shingles(docs, busy, shingle)
+    able = checkpointed(busy.join(nodes.select("id", "n"), "id").join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")))
+    member = checkpointed(member.join(able, "id"))
+    most = F.least("s.common", "m.common")
+    possible = 100 * most >= percent * (F.col("s.n") + F.col("m.n") - most)
     agree = 128 - F.bit_count(F.col("s.b0").bitwiseXOR(F.col("m.b0"))) - F.bit_count(F.col("s.b1").bitwiseXOR(F.col("m.b1")))
     rest = (
-        member.filter("stray").alias("s").join(member.alias("m"), (F.col("s.band") == F.col("m.band")) & (F.col("s.component") != F.col("m.component")) & (~F.col("m.stray") | (F.col("s.id") < F.col("m.id"))) & (F.col("m.id") != F.col("m.leader")) & (agree >= AGREE))
+        member.filter("stray").alias("s").join(member.alias("m"), (F.col("s.band") == F.col("m.band")) & (F.col("s.component") != F.col("m.component")) & (~F.col("m.stray") | (F.col("s.id") < F.col("m.id"))) & (F.col("m.id") != F.col("m.leader")) & possible & (agree >= AGREE))
         .select(F.col("s.id").alias("a"), F.col("m.id").alias("b")).distinct()
     )
     more = linked(docs, checkpointed(rest), shingle, percent)
