@@ -45,6 +45,8 @@ def profile(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     triples = (pairs[:-1] << _BITS) | x[2:]
     triples = triples[x[1:-1] > 0]  # none spans two words
     grams = np.concatenate((x[x > 0], pairs | np.uint64(1) << np.uint64(63), triples))
+    if not len(grams):
+        return grams, np.empty(0, np.int64)
     grams.sort()
     first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
     return grams[first], np.diff(np.r_[first, len(grams)])
