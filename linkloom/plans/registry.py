@@ -1,4 +1,108 @@
-"""Queries of the library by name, each with SQL of the same result."""
+"""Queries of the library by name, each with SQL of the same result.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+A query's text is written once, over the relations of ``relations`` in braces; Spark runs it over DataFrames, the check over common table expressions.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.functions.text import context_window, span, tokens
+from linkloom.operators.graph import entity_partition, spanning_forest
+from linkloom.plans.relations import RELATIONS, duckdb
+
+TEXTS = {
+    "p1_global_index": "SELECT idx, CAST(CASE WHEN idx = gold THEN row_number() OVER (PARTITION BY idx = gold ORDER BY idx) - 1 ELSE row_number() OVER (PARTITION BY idx = gold ORDER BY idx) - 1 + (SELECT count(*) FROM {ent}) END AS BIGINT) AS pos, CASE WHEN idx = gold THEN 'entity' ELSE 'mention' END AS kind FROM {node}",
+    "p4_mention_entity_edges": "SELECT midx, eidx, affinity FROM {cand} WHERE eidx <> gold",
+    "p9_threshold_prune": "SELECT doc, src, dst, affinity FROM {mm} WHERE affinity > 0.2",
+    "p10_distance_prune": "SELECT doc, src, dst, round(1 - affinity, 6) AS distance FROM {mm} WHERE round(1 - affinity, 6) <= 0.8",
+    "p14_symmetric_closure": "SELECT doc, src AS a, dst AS b, affinity FROM {mm} WHERE affinity > 0.2 UNION ALL SELECT doc, dst, src, affinity FROM {mm} WHERE affinity > 0.2",
+    "j3_gold_entity": "SELECT m.midx, m.doc, e.eidx FROM {men} m LEFT JOIN {ent} e ON m.gold = e.eidx",
+    "j5_within_doc_pairs": "SELECT doc, src, dst, affinity FROM {mm}",
+    "j6_candidate_edges": "SELECT midx, eidx, affinity, rank FROM {cand}",
+    "j7_two_hop_candidates": "WITH both_ways AS (SELECT src AS a, dst AS b, affinity FROM {mm} UNION ALL SELECT dst, src, affinity FROM {mm}), near AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY affinity DESC, b) AS r FROM both_ways) x WHERE r <= 5) SELECT DISTINCT n.a AS midx, c.eidx FROM near n JOIN {cand} c ON c.midx = n.b LEFT JOIN {cand} own ON own.midx = n.a AND own.eidx = c.eidx WHERE own.eidx IS NULL",
+    "j8_in_cluster_pairs": "SELECT doc, src, dst FROM {mm} WHERE same",
+    "j15_knn_exact": "SELECT midx, eidx, affinity, rank FROM {scored} WHERE rank <= 5",
+    "j22_document_candidate_pool": "SELECT DISTINCT m.midx, c.eidx FROM {men} m JOIN {cand} c ON c.doc = m.doc",
+    "a3_nested_clusters": "SELECT doc, gold AS eidx, count(*) AS mentions, min(midx) AS first_mention FROM {men} GROUP BY doc, gold",
+    "a4_cluster_sets": "SELECT gold AS eidx, midx AS member FROM {men} UNION SELECT eidx, eidx FROM {ent}",
+    "a6_slim_links": "SELECT midx, eidx, affinity FROM {cand} WHERE rank = 1",
+    "a7_candidate_recall": "SELECT round(avg(hit), 6) AS recall, count(*) AS mentions FROM (SELECT midx, max(CASE WHEN eidx = gold THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS hit FROM {cand} GROUP BY midx) x",
+    "a8_vanilla_linking_accuracy": "SELECT round(avg(CASE WHEN eidx = gold THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS accuracy, count(*) AS mentions FROM {cand} WHERE rank = 1",
+    "a11_coref_metrics": "WITH cells AS (SELECT doc, gold, component, count(*) AS n FROM {comp} GROUP BY doc, gold, component), s AS (SELECT sum(n * (n - 1)) / 2.0 AS tp FROM cells), t AS (SELECT sum(n * (n - 1)) / 2.0 AS a FROM (SELECT sum(n) AS n FROM cells GROUP BY doc, gold) x), p AS (SELECT sum(n * (n - 1)) / 2.0 AS b FROM (SELECT sum(n) AS n FROM cells GROUP BY component) x), al AS (SELECT sum(n) AS n FROM cells) SELECT round(CASE WHEN tp = 0 THEN 0.0 ELSE tp / sqrt(a * b) END, 6) AS fmi, round((tp - a * b / (n * (n - 1) / 2.0)) / ((a + b) / 2.0 - a * b / (n * (n - 1) / 2.0)), 6) AS ari FROM s, t, p, al",
+    "a12_mutual_information": "WITH cells AS (SELECT concat(doc, ':', gold) AS truth, component, CAST(count(*) AS DOUBLE) AS n FROM {comp} GROUP BY 1, 2), t AS (SELECT truth, sum(n) AS a FROM cells GROUP BY truth), p AS (SELECT component, sum(n) AS b FROM cells GROUP BY component), al AS (SELECT sum(n) AS total FROM cells), i AS (SELECT sum(n / total * ln(n * total / (a * b))) AS mi FROM cells JOIN t ON cells.truth = t.truth JOIN p ON cells.component = p.component, al), h AS (SELECT (SELECT -sum(a / total * ln(a / total)) FROM t, al) AS hu, (SELECT -sum(b / total * ln(b / total)) FROM p, al) AS hv) SELECT round(mi / ((hu + hv) / 2), 6) AS nmi FROM i, h",
+    "a16_cluster_then_link_sum": "SELECT c.midx, w.eidx FROM {comp} c JOIN (SELECT component, eidx, row_number() OVER (PARTITION BY component ORDER BY total DESC, eidx) AS r FROM (SELECT c.component, k.eidx, round(sum(k.affinity), 6) AS total FROM {comp} c JOIN {cand} k ON k.midx = c.midx GROUP BY c.component, k.eidx) x) w ON w.component = c.component WHERE w.r = 1",
+    "a17_cluster_then_link_min": "SELECT c.midx, w.eidx FROM {comp} c JOIN (SELECT component, eidx, row_number() OVER (PARTITION BY component ORDER BY affinity DESC, eidx, midx) AS r FROM (SELECT c.component, k.eidx, k.affinity, k.midx FROM {comp} c JOIN {cand} k ON k.midx = c.midx WHERE k.rank = 1) x) w ON w.component = c.component WHERE w.r = 1",
+    "a18_gold_cluster_probe": "SELECT gold AS eidx, count(*) AS members, max(CASE WHEN eidx = gold THEN 1 ELSE 0 END) AS any_hit FROM {cand} WHERE rank = 1 GROUP BY gold",
+    "a24_recall_at_k": "SELECT k, round(avg(CASE WHEN rank <= k THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS recall FROM {scored} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 8) ks WHERE eidx = gold GROUP BY k",
+    "a29_component_sizes": "SELECT doc, component, count(*) AS size, count(DISTINCT gold) AS golds FROM {comp} GROUP BY doc, component",
+    "a32_largest_cluster": "SELECT max(n) AS largest FROM (SELECT count(*) AS n FROM {men} GROUP BY gold) x",
+    "g3_single_linkage": "SELECT doc, midx, component FROM {comp}",
+    "w1_hardest_negatives": "WITH both_ways AS (SELECT src AS a, dst AS b, affinity, same FROM {mm} UNION ALL SELECT dst, src, affinity, same FROM {mm}) SELECT a AS anchor, b AS neg, CAST(r AS INTEGER) AS r FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY affinity DESC, b) AS r FROM both_ways WHERE NOT same) x WHERE r <= 4",
+    "w2_top_neighbours": "WITH both_ways AS (SELECT src AS a, dst AS b, affinity FROM {mm} UNION ALL SELECT dst, src, affinity FROM {mm}) SELECT a, b, affinity FROM (SELECT a, b, affinity, row_number() OVER (PARTITION BY a ORDER BY affinity DESC, b) AS r FROM both_ways) x WHERE r <= 5",
+    "w3_candidate_negatives": "SELECT midx, eidx, CAST(r AS INTEGER) AS slot FROM (SELECT midx, eidx, row_number() OVER (PARTITION BY midx ORDER BY rank) AS r FROM {cand} WHERE eidx <> gold) x WHERE r <= 2",
+    "w4_context_overlap_negatives": "SELECT anchor, neg, CAST(r AS INTEGER) AS slot FROM (SELECT a.midx AS anchor, b.midx AS neg, row_number() OVER (PARTITION BY a.midx ORDER BY abs(a.start_index - b.start_index), b.midx) AS r FROM {men} a JOIN {men} b ON a.doc = b.doc AND a.gold <> b.gold) x WHERE r <= 3",
+    "t4_sample_without_replacement": "SELECT gold, midx FROM (SELECT gold, midx, row_number() OVER (PARTITION BY gold ORDER BY md5(CAST(midx AS VARCHAR(20))), midx) AS r FROM {men}) x WHERE r <= 5",
+    "u3_example_set": "SELECT midx AS idx FROM {men} UNION SELECT eidx FROM {cand} UNION SELECT gold FROM {men}",
+    "b3_triplets": "WITH both_ways AS (SELECT src AS a, dst AS b, affinity, same FROM {mm} UNION ALL SELECT dst, src, affinity, same FROM {mm}), ranked AS (SELECT *, row_number() OVER (PARTITION BY a, same ORDER BY affinity DESC, b) - 1 AS r, count(*) OVER (PARTITION BY a, same) AS n FROM both_ways) SELECT p.a AS anchor, p.b AS pos, q.b AS neg FROM ranked p JOIN ranked q ON p.a = q.a AND p.same AND NOT q.same AND q.r = p.r",
+    "l1_triplet_margin_loss": "WITH best AS (SELECT c.midx, max(CASE WHEN eidx = gold THEN affinity END) AS pos, max(CASE WHEN eidx <> gold THEN affinity END) AS neg FROM {scored} c GROUP BY c.midx) SELECT round(avg(greatest(neg - pos + 0.5, 0)), 6) AS loss, round(avg(1 / (1 + exp(-(neg - pos + 0.5)))), 6) AS bpr FROM best",
+    "l3_softmax_loss": "SELECT round(avg(lse - pos), 6) AS loss FROM (SELECT midx, ln(sum(exp(affinity))) AS lse, max(CASE WHEN eidx = gold THEN affinity END) AS pos FROM {scored} GROUP BY midx) x",
+    "l4_threshold_loss": "SELECT round(avg(greatest(0.5 - CASE WHEN same THEN affinity ELSE -affinity END, 0)), 6) AS loss FROM {mm}",
+    "a26_loss_breakdown": "SELECT CASE WHEN same THEN 'positive' ELSE 'negative' END AS kind, count(*) AS pairs, round(avg(affinity), 6) AS mean FROM {mm} GROUP BY CASE WHEN same THEN 'positive' ELSE 'negative' END",
+    "b6_cluster_batches": "SELECT eidx, CAST(floor((row_number() OVER (ORDER BY eidx) - 1) / 4.0) AS BIGINT) AS batch FROM {ent}",
+}
+_NAME = re.compile(r"\{(\w+)\}")
+
+
+def query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    names = set(_NAME.findall(text))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.sql(text, **{n: RELATIONS[n](spark, sf_dir) for n in names})
+        return df.select(*[F.col(c).cast("double").alias(c) if kind.startswith("decimal") else F.col(c) for c, kind in df.dtypes])
+
+    return run
+
+
+def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitespace tokens, the middle three as mention, and a window of 16 around it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokens(F.col("text")).alias("toks"))
+    docs = docs.filter(F.size("toks") >= 3).withColumn("s", F.floor((F.size("toks") - 3) / 2).cast("int"))
+    window = context_window(F.col("toks"), F.col("s"), F.col("s") + 2, 16)
+    return docs.select("doc_id", F.size("toks").alias("n"), span(F.col("toks"), F.col("s"), F.col("s") + 2).alias("mention"), F.concat_ws(" ", window).alias("context"))
+
+
+TEXT_WINDOWS = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS toks FROM documents),
+s AS (SELECT doc_id, toks, len(toks) AS n, CAST(floor((len(toks) - 3) / 2.0) AS INTEGER) AS s FROM t WHERE len(toks) >= 3),
+w AS (SELECT *, least(s, greatest(6, 11 - (n - s - 3))) AS l FROM s),
+x AS (SELECT *, least(n - s - 3, 11 - l) AS r FROM w)
+SELECT doc_id, CAST(n AS INTEGER) AS n, array_to_string(toks[s + 1:s + 3], ' ') AS mention,
+  array_to_string(list_concat(list_concat(list_concat(toks[s - l + 1:s], ['[START]']), list_concat(toks[s + 1:s + 3], ['[END]'])), toks[s + 4:s + 3 + r]), ' ') AS context
+FROM x
+"""
+
+
+def joint_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coref = spanning_forest(RELATIONS["mm"](spark, sf_dir)).withColumn("to_entity", F.lit(False))
+    links = RELATIONS["cand"](spark, sf_dir).filter("rank = 1").select("doc", F.col("eidx").alias("src"), F.col("midx").alias("dst"), "affinity", F.lit(True).alias("to_entity"))
+    return coref.unionByName(links)
+
+
+def joint_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = entity_partition(joint_edges(spark, sf_dir)).join(RELATIONS["men"](spark, sf_dir).select(F.col("midx").alias("mention"), "gold"), "mention", "right")
+    return found.agg(F.round(F.avg(F.when(F.col("entity") == F.col("gold"), 1.0).otherwise(0.0)), 6).alias("accuracy"), F.count(F.lit(1)).alias("mentions"))
+
+
+QUERIES = {name: query(text) for name, text in TEXTS.items()} | {
+    "f4_context_window": text_windows,
+    "g1_spanning_forest": lambda s, d: spanning_forest(RELATIONS["mm"](s, d)),
+    "g4_entity_partition": lambda s, d: entity_partition(joint_edges(s, d)),
+    "g5_joint_accuracy": joint_accuracy,
+}
+#: Kruskal and the constrained partition have no SQL; tests hold them against brute force.
+ORACLE = {name: duckdb(_NAME.sub(r"\1", text), set(_NAME.findall(text))) for name, text in TEXTS.items()} | {"f4_context_window": TEXT_WINDOWS}
