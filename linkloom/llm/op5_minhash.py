@@ -3,8 +3,9 @@
 Documents with one shingle set are one node. Nodes that agree in a band meet in a bucket. A bucket isn't expanded into pairs: its
 most central node (the one with most bucket mates over all bands) leads it, and each member is checked against the leader on full sets.
 Members that this leaves outside their leader's component (strays) are then held against those members of the bucket that lie in other components.
-Most of these pairs fall to a bound: shingles that no other node of such buckets has can't be common, and too many of them rule a
-link out. What is left is compared by signature, and what agrees is checked on full sets too. So any two nodes that share a bucket end up
+Most of these pairs fall to two bounds on what they can have in common, both exact. Shingles that no other node of such buckets has
+aren't common. And of the leader's shingles, two members share at most those that neither lacks; beside them, at most what the one with fewer
+further shingles has. What is left is compared by signature, and what agrees is checked on full sets too. So any two nodes that share a bucket end up
 in one component, or can't be linked, or have been compared. Components come from alternating large-star and small-star.
 """
 
@@ -26,6 +27,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
 #: Of 128 one-bit minima, so many must agree before full sets are compared; at a similarity of 0.8, 115 do on average.
 AGREE = 102
+#: Bits of the mask of a leader's shingles that a member lacks. Shingles of one bit count once, so the bound holds at any length.
+MASK = 256
 
 _draw = np.random.default_rng(5)
 _A = (_draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -97,8 +100,8 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, same binary, b0 long, b1 long, bands array<long>")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+def judged(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) by their full sets: whether they link, a's shingles, how many of b's shingles a lacks, and a mask (m0 to m3) of a's that b lacks."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -107,20 +110,20 @@ def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
                 found = [shingles(x.as_py() or b"", size, hashes).tobytes() for x in batch.column(1)]
                 yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            link, held, more, masks = [], [], [], np.zeros((batch.num_rows, MASK), np.uint8)
+            for row, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(x) + len(y)
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    z = np.concatenate((x, y))
-                    z.sort(kind="stable")
-                    common = int((z[1:] == z[:-1]).sum())
-                    keep.append(100 * common >= percent * (both - common))
-                else:
-                    keep.append(False)
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                lacks = x[~np.isin(x, y, assume_unique=True)]
+                masks[row, lacks % np.uint64(MASK)] = 1
+                common = len(x) - len(lacks)
+                link.append(100 * common >= percent * (len(x) + len(y) - common))
+                held.append(len(x))
+                more.append(len(y) - common)
+            words = np.packbits(masks, axis=1).view(np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(link, pa.bool_()), pa.array(held, pa.int64()), pa.array(more, pa.int64()), *(pa.array(words[:, i].copy()) for i in range(4))]
+            yield pa.record_batch(columns, names=["a", "b", "link", "held", "more", "m0", "m1", "m2", "m3"])
 
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     have = docs.withColumnRenamed("doc_id", "id").join(small(wanted, wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles binary")
@@ -128,7 +131,7 @@ def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
         pairs.join(have.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         .join(have.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
     )
-    return both.mapInArrow(judged, "a long, b long")
+    return both.mapInArrow(compare, "a long, b long, link boolean, held long, more long, m0 long, m1 long, m2 long, m3 long")
 
 
 def own_shingles(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -210,8 +213,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         hits.select("id", "band").join(central, "id").groupBy("band").agg(F.max(F.struct("mates", (-F.col("id")).alias("id"))).alias("top")).select("band", (-F.col("top.id")).alias("leader"))
     )
     stars = checkpointed(hits.join(leaders, "band").filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    links = checkpointed(linked(docs, stars, shingle, percent))
-    first = components(links)
+    rays = checkpointed(judged(docs, stars, shingle, percent))
+    first = components(rays.filter("link").select("a", "b"))
     member = hits.select("id", "band").join(nodes.select("id", "b0", "b1"), "id").join(first.withColumnRenamed("node", "id"), "id", "left")
     member = member.withColumn("component", F.coalesce("component", "id"))
     leading = leaders.join(first.withColumnRenamed("node", "leader"), "leader", "left").select("band", F.coalesce("component", "leader").alias("led"), "leader")
@@ -219,16 +222,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     strays = member.filter("stray")
     busy = checkpointed(member.join(strays.select("band").distinct(), "band", "left_semi").select("id").distinct())
     own = own_shingles(docs, busy, shingle)
-    able = checkpointed(busy.join(nodes.select("id", "n"), "id").join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")))
-    member = checkpointed(member.join(able, "id"))
-    most = F.least("s.common", "m.common")
+    able = checkpointed(busy.join(nodes.select("id", "n"), "id").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own")))
+    seen = rays.withColumnsRenamed({"a": "leader", "b": "id"}).drop("link")
+    member = member.join(able, "id").join(seen, ["leader", "id"])  # the leader itself goes: all have been held against it
+    member = checkpointed(member.withColumn("common", F.col("n") - F.col("own")).withColumn("more", F.col("more") - F.col("own")))
+    lacked = sum((F.bit_count(F.col(f"s.m{i}").bitwiseOR(F.col(f"m.m{i}"))) for i in range(4)), F.lit(0))
+    most = F.least("s.common", "m.common", F.col("s.held") - lacked + F.least("s.more", "m.more"))
     possible = 100 * most >= percent * (F.col("s.n") + F.col("m.n") - most)
     agree = 128 - F.bit_count(F.col("s.b0").bitwiseXOR(F.col("m.b0"))) - F.bit_count(F.col("s.b1").bitwiseXOR(F.col("m.b1")))
     rest = (
-        member.filter("stray").alias("s").join(member.alias("m"), (F.col("s.band") == F.col("m.band")) & (F.col("s.component") != F.col("m.component")) & (~F.col("m.stray") | (F.col("s.id") < F.col("m.id"))) & (F.col("m.id") != F.col("m.leader")) & possible & (agree >= AGREE))
+        member.filter("stray").alias("s").join(member.alias("m"), (F.col("s.band") == F.col("m.band")) & (F.col("s.component") != F.col("m.component")) & (~F.col("m.stray") | (F.col("s.id") < F.col("m.id"))) & possible & (agree >= AGREE))
         .select(F.col("s.id").alias("a"), F.col("m.id").alias("b")).distinct()
     )
-    more = linked(docs, checkpointed(rest), shingle, percent)
+    more = judged(docs, checkpointed(rest), shingle, percent).filter("link").select("a", "b")
     found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     placed = nodes.select("same", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     real = lambda c: F.nullif(F.col(c), F.lit(LAST_ID))
