@@ -3,9 +3,8 @@
 Documents with one shingle set are one node. Nodes that agree in a band meet in a bucket. A bucket isn't expanded into pairs: its
 most central node (the one with most bucket mates over all bands) leads it, and each member is checked against the leader on full sets.
 Members that this leaves outside their leader's component (strays) are then held against those members of the bucket that lie in other components.
-Most of these pairs fall to two bounds on what they can have in common, both exact. Shingles that no other node of such buckets has
-aren't common. And of the leader's shingles, two members share at most those that neither lacks; beside them, at most what the one with fewer
-further shingles has. What is left is compared by signature, and what agrees is checked on full sets too. So any two nodes that share a bucket end up
+Most of these pairs fall to an exact bound on what they can have in common: of the leader's shingles, those that neither lacks; of each
+one's further shingles, those whose bit the other's mask has too. What is left is compared by signature, and what agrees is checked on full sets too. So any two nodes that share a bucket end up
 in one component, or can't be linked, or have been compared. Components come from alternating large-star and small-star.
 """
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm._docs import LAST_ID, LOWER_BYTES, pack, shuffle_parts, table, unpack
+from linkloom.llm._docs import LAST_ID, LOWER_BYTES, table
 from linkloom.llm._spark import checkpointed, small
 
 SHINGLE, PERCENT = 5, 80
@@ -27,7 +26,7 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
 #: Of 128 one-bit minima, so many must agree before full sets are compared; at a similarity of 0.8, 115 do on average.
 AGREE = 102
-#: Bits of the mask of a leader's shingles that a member lacks. Shingles of one bit count once, so the bound holds at any length.
+#: Bits of the masks of a leader's shingles that a member lacks, and of its further ones. A bit stands for one shingle at least, so the bound holds at any length.
 MASK = 256
 
 _draw = np.random.default_rng(5)
@@ -101,7 +100,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def judged(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) by their full sets: whether they link, a's shingles, how many of b's shingles a lacks, and a mask (m0 to m3) of a's that b lacks."""
+    """The pairs (a, b) by their full sets: whether they link, n of a, how many of b's shingles a lacks, masks of a's that b lacks (m0 to m3) and of b's that a lacks (p0 to p3)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -112,18 +111,19 @@ def judged(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            link, held, more, masks = [], [], [], np.zeros((batch.num_rows, MASK), np.uint8)
+            link, held, more, masks = [], [], [], np.zeros((2, batch.num_rows, MASK), np.uint8)
             for row, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                lacks = x[~np.isin(x, y, assume_unique=True)]
-                masks[row, lacks % np.uint64(MASK)] = 1
+                lacks, further = x[~np.isin(x, y, assume_unique=True)], y[~np.isin(y, x, assume_unique=True)]
+                masks[0, row, lacks % np.uint64(MASK)] = 1
+                masks[1, row, further % np.uint64(MASK)] = 1
                 common = len(x) - len(lacks)
                 link.append(100 * common >= percent * (len(x) + len(y) - common))
                 held.append(len(x))
-                more.append(len(y) - common)
-            words = np.packbits(masks, axis=1).view(np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(link, pa.bool_()), pa.array(held, pa.int64()), pa.array(more, pa.int64()), *(pa.array(words[:, i].copy()) for i in range(4))]
-            yield pa.record_batch(columns, names=["a", "b", "link", "held", "more", "m0", "m1", "m2", "m3"])
+                more.append(len(further))
+            words = np.packbits(masks, axis=2).view(np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(link, pa.bool_()), pa.array(held, pa.int64()), pa.array(more, pa.int64()), *(pa.array(words[k, :, i].copy()) for k in range(2) for i in range(4))]
+            yield pa.record_batch(columns, names=["a", "b", "link", "held", "more", "m0", "m1", "m2", "m3", "p0", "p1", "p2", "p3"])
 
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     have = docs.withColumnRenamed("doc_id", "id").join(small(wanted, wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles binary")
@@ -131,49 +131,7 @@ def judged(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
         pairs.join(have.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         .join(have.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
     )
-    return both.mapInArrow(compare, "a long, b long, link boolean, held long, more long, m0 long, m1 long, m2 long, m3 long")
-
-
-def own_shingles(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, own): how many shingles of each of the nodes no other of them has. Nodes that have none are missing.
-
-    A batch sends each of its shingles once, with its holder, or a mark that it has several: a shingle of all texts is one entry a batch.
-    """
-    buckets = shuffle_parts(docs.sparkSession)
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for whole in batches:
-            for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
-                found = [shingles(x.as_py() or b"", size, hashes) for x in batch.column(1)]
-                holder = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
-                sh, holder = held_once(np.concatenate(found or [np.empty(0, np.uint64)]), holder)
-                where = (sh % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-                full = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
-                bodies = [pack(sh[order[cuts[b] : cuts[b + 1]]], holder[order[cuts[b] : cuts[b + 1]]]) for b in full]
-                yield pa.record_batch([pa.array(full, pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
-
-    def counted(bucket: pa.Table) -> pa.Table:
-        sh, holder = (np.concatenate(c) for c in zip(*(unpack(b, np.uint64, np.int64) for b in bucket.column("body").to_pylist()), strict=True))
-        ids, n = np.unique((x := held_once(sh, holder)[1])[x != SEVERAL], return_counts=True)
-        return pa.table({"id": pa.array(ids, pa.int64()), "own": pa.array(n, pa.int64())})
-
-    texts = docs.withColumnRenamed("doc_id", "id").join(small(ids, ids.count()), "id", "left_semi").select("id", "text")
-    return texts.mapInArrow(sent, "bucket int, body binary").groupBy("bucket").applyInArrow(counted, "id long, own long").groupBy("id").agg(F.sum("own").alias("own"))
-
-
-SEVERAL = -(2**63)
-
-
-def held_once(sh: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each shingle once: with its holder, or ``SEVERAL``."""
-    order = np.lexsort((holder, sh))
-    sh, holder = sh[order], holder[order]
-    first = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]]) if len(sh) else np.empty(0, np.int64)
-    last = np.r_[first[1:], len(sh)][: len(first)] - 1
-    return sh[first], np.where(holder[first] == holder[last], holder[first], SEVERAL)
+    return both.mapInArrow(compare, "a long, b long, link boolean, held long, more long, m0 long, m1 long, m2 long, m3 long, p0 long, p1 long, p2 long, p3 long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,19 +173,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     stars = checkpointed(hits.join(leaders, "band").filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     rays = checkpointed(judged(docs, stars, shingle, percent))
     first = components(rays.filter("link").select("a", "b"))
-    member = hits.select("id", "band").join(nodes.select("id", "b0", "b1"), "id").join(first.withColumnRenamed("node", "id"), "id", "left")
+    member = hits.select("id", "band").join(nodes.select("id", "n", "b0", "b1"), "id").join(first.withColumnRenamed("node", "id"), "id", "left")
     member = member.withColumn("component", F.coalesce("component", "id"))
     leading = leaders.join(first.withColumnRenamed("node", "leader"), "leader", "left").select("band", F.coalesce("component", "leader").alias("led"), "leader")
     member = checkpointed(member.join(leading, "band").withColumn("stray", F.col("component") != F.col("led")))
-    strays = member.filter("stray")
-    busy = checkpointed(member.join(strays.select("band").distinct(), "band", "left_semi").select("id").distinct())
-    own = own_shingles(docs, busy, shingle)
-    able = checkpointed(busy.join(nodes.select("id", "n"), "id").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own")))
-    seen = rays.withColumnsRenamed({"a": "leader", "b": "id"}).drop("link")
-    member = member.join(able, "id").join(seen, ["leader", "id"])  # the leader itself goes: all have been held against it
-    member = checkpointed(member.withColumn("common", F.col("n") - F.col("own")).withColumn("more", F.col("more") - F.col("own")))
-    lacked = sum((F.bit_count(F.col(f"s.m{i}").bitwiseOR(F.col(f"m.m{i}"))) for i in range(4)), F.lit(0))
-    most = F.least("s.common", "m.common", F.col("s.held") - lacked + F.least("s.more", "m.more"))
+    seen = rays.withColumnsRenamed({"a": "leader", "b": "id"}).drop("link")  # not the leader itself: all have been held against it
+    member = checkpointed(member.join(member.filter("stray").select("band").distinct(), "band", "left_semi").join(seen, ["leader", "id"]))
+    bits = lambda of: sum((F.bit_count(of(i)) for i in range(4)), F.lit(0))
+    lacked = bits(lambda i: F.col(f"s.m{i}").bitwiseOR(F.col(f"m.m{i}")))
+    shared = lambda x, y: F.col(f"{x}.more") - bits(lambda i: F.col(f"{x}.p{i}").bitwiseAND(F.bitwise_not(f"{y}.p{i}")))
+    most = F.col("s.held") - lacked + F.least(shared("s", "m"), shared("m", "s"))
     possible = 100 * most >= percent * (F.col("s.n") + F.col("m.n") - most)
     agree = 128 - F.bit_count(F.col("s.b0").bitwiseXOR(F.col("m.b0"))) - F.bit_count(F.col("s.b1").bitwiseXOR(F.col("m.b1")))
     rest = (
