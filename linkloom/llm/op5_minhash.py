@@ -4,8 +4,8 @@ Documents with one shingle set are one node. Nodes that agree in a band meet in
 most central node (the one with most bucket mates over all bands) leads it, and each member is checked against the leader on full sets.
 Members that this leaves outside their leader's component (strays) are then held against those members of the bucket that lie in other components.
 Most of these pairs fall to an exact bound on what they can have in common: of the leader's shingles, those that neither lacks; of each
-one's further shingles, those whose bit the other's mask has too. What is left is compared by signature, and what agrees is checked on full sets too. So any two nodes that share a bucket end up
-in one component, or can't be linked, or have been compared. Components come from alternating large-star and small-star.
+one's further shingles, those whose bit the other's mask has too. What is left is compared by signature, and what agrees is
+checked on full sets too. So any two nodes that share a bucket end up in one component, or can't be linked, or have been compared. Components come from alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from linkloom.llm._spark import checkpointed, small
 SHINGLE, PERCENT = 5, 80
 #: 32 bands of 4 minima: a pair at a similarity of 0.8 shares none with a probability of 5e-8.
 BANDS, ROWS = 32, 4
-#: Of 128 one-bit minima, so many must agree before full sets are compared; at a similarity of 0.8, 115 do on average.
-AGREE = 102
+#: Of 128 one-bit minima, so many must agree before full sets are compared; at a similarity of 0.8, 115 do on average, and fewer than this with a probability of 7e-9.
+AGREE = 93
 #: Bits of the masks of a leader's shingles that a member lacks, and of its further ones. A bit stands for one shingle at least, so the bound holds at any length.
 MASK = 256
 
