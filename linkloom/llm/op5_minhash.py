@@ -38,7 +38,7 @@ class WordHashes(dict):
     """64-bit hash of each word met so far, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         x = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return x

@@ -75,7 +75,7 @@ def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> dict[st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found.setdefault(lang, []).append(profile(letters(text)))
                 if len(found[lang]) >= 64:
@@ -89,6 +89,12 @@ def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> dict[st
     return {lang: found for lang in counts if (found := [r["gram"] for r in top(lang).collect()])}  # size rows a language
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what is made of one stays small."""
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     grams, n = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.argsort(grams, kind="stable")
@@ -121,11 +127,13 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
         return langs[best], float(1 - off[best] / (size * len(mine)))
 
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("__text"))
+    once = dict(docs.dtypes)["text"] == "string" and "text" in names  # the text need not go to Python twice
+    kept = docs.select(*[F.col(f"`{c}`") for c in names], *([] if once else [F.col("text").cast("string").alias("__text")]))
+    place = names.index("text") if once else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [judge(t.as_py()) for t in batch.column(len(names))]
+        for batch in sliced(batches):
+            found = [judge(t.as_py()) for t in batch.column(place)]
             yield pa.record_batch([*batch.columns[: len(names)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
