@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import context_window, span, tokens
 from linkloom.operators.graph import entity_partition, spanning_forest
+from linkloom.plans.examples import TEXTS as EXAMPLES
 from linkloom.plans.relations import RELATIONS, duckdb
 
 TEXTS = {
@@ -54,7 +55,7 @@ TEXTS = {
     "l4_threshold_loss": "SELECT round(avg(greatest(0.5 - CASE WHEN same THEN affinity ELSE -affinity END, 0)), 6) AS loss FROM {mm}",
     "a26_loss_breakdown": "SELECT CASE WHEN same THEN 'positive' ELSE 'negative' END AS kind, count(*) AS pairs, round(avg(affinity), 6) AS mean FROM {mm} GROUP BY CASE WHEN same THEN 'positive' ELSE 'negative' END",
     "b6_cluster_batches": "SELECT eidx, CAST(floor((row_number() OVER (ORDER BY eidx) - 1) / 4.0) AS BIGINT) AS batch FROM {ent}",
-}
+} | EXAMPLES
 _NAME = re.compile(r"\{(\w+)\}")
 
 

@@ -38,6 +38,12 @@ def mm(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("a.doc", F.col("a.midx").alias("src"), F.col("b.midx").alias("dst"), F.round(dot(F.col("a.embedding"), F.col("b.embedding")), 6).alias("affinity"), F.expr("a.gold = b.gold").alias("same"))
 
 
+def ends(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair of ``mm`` from either end."""
+    pair = F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))
+    return mm(spark, d).select("doc", pair.alias("e"), "affinity", "same").select("doc", "e.a", "e.b", "affinity", "same")
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Every entity of every mention, ranked: the base of recall at k."""
     m, e = men(spark, d), ent(spark, d)
@@ -55,7 +61,7 @@ def comp(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumnRenamed("node", "midx").join(m.select("midx", "gold"), "midx")
 
 
-RELATIONS = {f.__name__: f for f in (node, ent, men, mm, scored, cand, comp)}
+RELATIONS = {f.__name__: f for f in (node, ent, men, mm, ends, scored, cand, comp)}
 
 _DOT = "round(list_inner_product(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[])), 6)"
 SQL = {
@@ -63,6 +69,7 @@ SQL = {
     "ent": (("node",), "SELECT idx AS eidx, embedding FROM node WHERE idx = gold"),
     "men": (("node",), "SELECT idx AS midx, doc, gold, embedding, CAST(row_number() OVER (PARTITION BY doc ORDER BY idx) - 1 AS INTEGER) AS start_index FROM node WHERE idx <> gold"),
     "mm": (("men",), f"SELECT a.doc, a.midx AS src, b.midx AS dst, {_DOT.format(a='a', b='b')} AS affinity, a.gold = b.gold AS same FROM men a JOIN men b ON a.doc = b.doc AND a.midx < b.midx"),
+    "ends": (("mm",), "SELECT doc, src AS a, dst AS b, affinity, same FROM mm UNION ALL SELECT doc, dst, src, affinity, same FROM mm"),
     "scored": (("men", "ent"), f"SELECT *, CAST(row_number() OVER (PARTITION BY midx ORDER BY affinity DESC, eidx) AS INTEGER) AS rank FROM (SELECT m.midx, e.eidx, {_DOT.format(a='m', b='e')} AS affinity, m.doc, m.gold FROM men m, ent e)"),
     "cand": (("scored",), f"SELECT * FROM scored WHERE rank <= {CANDIDATES}"),
     "links": (("mm",), f"SELECT src AS u, dst AS v FROM mm WHERE affinity > {CUT} UNION ALL SELECT dst, src FROM mm WHERE affinity > {CUT}"),
