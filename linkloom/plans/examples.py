@@ -17,6 +17,10 @@ TEXTS = {
     f"per AS (SELECT midx, min(label) AS hit FROM best GROUP BY midx) SELECT {SHARE.format('hit = 1')} AS accuracy, count(*) AS mentions FROM per",
     "a22_gold_cluster_recall": f"WITH {OWN}, per AS (SELECT gold, CAST(count(*) AS DOUBLE) AS n, max(CASE WHEN eidx = gold THEN 1 ELSE 0 END) AS hit FROM own GROUP BY gold) SELECT round(sum(n * hit) / sum(n), 6) AS recall, count(*) AS clusters FROM per",
     "a23_gold_cluster_accuracy": f"WITH {OWN}, best AS (SELECT gold, eidx, n FROM (SELECT gold, eidx, CAST(count(*) OVER (PARTITION BY gold) AS DOUBLE) AS n, row_number() OVER (PARTITION BY gold ORDER BY affinity DESC, midx) AS r FROM own) x WHERE r = 1) SELECT round(sum(CASE WHEN eidx = gold THEN n ELSE 0 END) / sum(n), 6) AS accuracy FROM best",
+    "b5_threshold_pairs": "WITH n AS (SELECT a, b, same, row_number() OVER (PARTITION BY a, same ORDER BY affinity DESC, b) AS r FROM {ends}), kept AS (SELECT a, b, same FROM n WHERE same OR r <= 16), "
+    "c AS (SELECT a, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) AS DOUBLE) AS p, CAST(sum(CASE WHEN same THEN 0 ELSE 1 END) AS DOUBLE) AS q FROM kept GROUP BY a), "
+    "t AS (SELECT a, p, q, min(x) AS copies FROM c CROSS JOIN (SELECT 1 AS x UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 8 UNION ALL SELECT 16) xs WHERE 2 * p * x > q OR p = 0 GROUP BY a, p, q) "
+    "SELECT k.a AS anchor, k.b AS other, CASE WHEN same THEN greatest(round(4 * q / (5 * p * copies), 6), CAST(1 AS DOUBLE)) ELSE CAST(-1 AS DOUBLE) END AS coefficient, CASE WHEN same THEN copies ELSE 1 END AS copies FROM kept k JOIN t ON t.a = k.a",
     "b13_coreference_examples": "SELECT a AS anchor, b AS other, same, CAST(r AS INTEGER) AS slot FROM (SELECT a, b, same, row_number() OVER (PARTITION BY a, same ORDER BY b) AS r FROM {ends}) x WHERE r <= 3",
     "b14_entities_without_mentions": "SELECT e.eidx FROM {ent} e LEFT JOIN {men} m ON m.gold = e.eidx WHERE m.midx IS NULL",
     "g13_average_linkage_pairs": "SELECT doc, src, dst, CAST(CASE WHEN same THEN 1 ELSE -1 END AS DOUBLE) AS coefficient FROM {mm} WHERE CASE WHEN same THEN round(1 - affinity, 6) > 0.45 ELSE round(1 - affinity, 6) < 0.9 END",

@@ -10,9 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linkloom.functions.text import context_window, span, tokens
 from linkloom.operators.graph import entity_partition, spanning_forest
+from linkloom.operators.knn import knn_join
+from linkloom.operators.linkage import agglomerate, best_threshold, gold_tree_edges, single_linkage_pairs, threshold_sweep
 from linkloom.plans.examples import TEXTS as EXAMPLES
 from linkloom.plans.relations import RELATIONS, duckdb
 
@@ -99,11 +102,65 @@ def joint_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.round(F.avg(F.when(F.col("entity") == F.col("gold"), 1.0).otherwise(0.0)), 6).alias("accuracy"), F.count(F.lit(1)).alias("mentions"))
 
 
+def partition_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions whose part has an entity, those without, and how many of the first have their gold one."""
+    found = entity_partition(joint_edges(spark, sf_dir)).join(RELATIONS["men"](spark, sf_dir).select(F.col("midx").alias("mention"), "gold"), "mention")
+    return found.agg(F.count("entity").alias("possible"), F.count_if(F.col("entity").isNull()).alias("not_possible"), F.count_if(F.col("entity") == F.col("gold")).alias("hits"))
+
+
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = RELATIONS["men"](spark, sf_dir).select("doc", F.col("midx").alias("node"), "gold")
+    return threshold_sweep(m, RELATIONS["mm"](spark, sf_dir))
+
+
+def softmax_rows(spark: SparkSession, sf_dir: str, negatives: int = 3) -> DataFrame:
+    """Rows of one positive (slot 0) and some negatives for each anchor; both lists, by falling affinity, start again when they end."""
+    best = F.struct((-F.col("affinity")).alias("d"), "b")
+    of = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, best))), lambda x: x["b"])
+    lists = RELATIONS["ends"](spark, sf_dir).groupBy("a").agg(of(F.col("same")).alias("pos"), of(~F.col("same")).alias("neg")).filter("size(pos) > 0 and size(neg) > 0")
+    rows = F.greatest(F.size("pos"), F.ceil(F.size("neg") / negatives).cast("int"))
+    at = lists.withColumn("at", F.explode(F.sequence(F.lit(0), rows - 1)))
+    row = F.array(F.get("pos", F.col("at") % F.size("pos")), *[F.get("neg", (F.col("at") * negatives + j) % F.size("neg")) for j in range(negatives)])
+    return at.select(F.col("a").alias("anchor"), F.col("at").cast("long").alias("at"), F.posexplode(row).alias("slot", "idx"))
+
+
+SOFTMAX_ROWS = """
+WITH l AS (SELECT a, list(b ORDER BY affinity DESC, b) FILTER (same) AS pos, list(b ORDER BY affinity DESC, b) FILTER (NOT same) AS neg FROM ends GROUP BY a),
+r AS (SELECT a, pos, neg, unnest(range(greatest(len(pos), CAST(ceil(len(neg) / 3.0) AS BIGINT)))) AS i FROM l WHERE pos IS NOT NULL AND neg IS NOT NULL)
+SELECT a AS anchor, i AS at, CAST(0 AS INTEGER) AS slot, pos[i % len(pos) + 1] AS idx FROM r
+UNION ALL SELECT a, i, CAST(j + 1 AS INTEGER), neg[(i * 3 + j) % len(neg) + 1] FROM r, (SELECT unnest(range(3)) AS j) js
+"""
+
+
+def knn_all(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """The k nearest others of every node."""
+    v = RELATIONS["node"](spark, sf_dir).select(F.col("idx").alias("id"), F.col("embedding").alias("vec"))
+    near = knn_join(v, v, k + 1).filter("query <> neighbour")
+    again = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
+    return near.withColumn("rank", again).filter(F.col("rank") <= k).select("query", "neighbour", "affinity", "rank")
+
+
+KNN_ALL = "SELECT query, neighbour, affinity, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY affinity DESC, neighbour) AS INTEGER) AS rank FROM (SELECT a.idx AS query, b.idx AS neighbour, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS affinity FROM node a JOIN node b ON a.idx <> b.idx) x) y WHERE rank <= 5"
+
+
 QUERIES = {name: query(text) for name, text in TEXTS.items()} | {
     "f4_context_window": text_windows,
     "g1_spanning_forest": lambda s, d: spanning_forest(RELATIONS["mm"](s, d)),
     "g4_entity_partition": lambda s, d: entity_partition(joint_edges(s, d)),
     "g5_joint_accuracy": joint_accuracy,
+    "a13_threshold_sweep": sweep,
+    "a13_best_threshold": lambda s, d: best_threshold(sweep(s, d)),
+    "a30_partition_outcomes": partition_outcomes,
+    "b4_softmax_rows": softmax_rows,
+    "g9_gold_tree_edges": lambda s, d: gold_tree_edges(RELATIONS["mm"](s, d)),
+    "g11_exponential_linkage": lambda s, d: agglomerate(RELATIONS["mm"](s, d), "exponential"),
+    "g14_single_linkage_pairs": lambda s, d: single_linkage_pairs(RELATIONS["mm"](s, d)),
+    "g18_average_linkage": lambda s, d: agglomerate(RELATIONS["mm"](s, d)),
+    "j17_knn_all": knn_all,
+}
+#: Forests, merges and the constrained partition have no SQL; tests hold them against brute force.
+ORACLE = {name: duckdb(_NAME.sub(r"\1", text), set(_NAME.findall(text))) for name, text in TEXTS.items()} | {
+    "f4_context_window": TEXT_WINDOWS,
+    "b4_softmax_rows": duckdb(SOFTMAX_ROWS, {"ends"}),
+    "j17_knn_all": duckdb(KNN_ALL, {"node"}),
 }
-#: Kruskal and the constrained partition have no SQL; tests hold them against brute force.
-ORACLE = {name: duckdb(_NAME.sub(r"\1", text), set(_NAME.findall(text))) for name, text in TEXTS.items()} | {"f4_context_window": TEXT_WINDOWS}
