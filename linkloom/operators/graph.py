@@ -5,6 +5,8 @@ A document's graph is bounded, so each is one group: (doc, src, dst, affinity) w
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,3 +86,44 @@ def entity_partition(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc": pdf["doc"].iloc[0], "mention": [n // 2 for n in m], "entity": pd.array([entity.get(parts.root(n)) for n in m], "Int64")})
 
     return edges.select("doc", "src", "dst", "affinity", "to_entity").groupBy("doc").applyInPandas(one, "doc long, mention long, entity long")
+
+
+def divisive_partition(edges: DataFrame) -> DataFrame:
+    """(doc, mention, entity): the maximum spanning forest, cut until no part has two entities; null for a part without one.
+
+    In a part with more than one entity, an edge may go if an end is no mention of degree 1; of those that may, all with the smallest affinity go
+    at once. Parts do not touch each other's edges, so each is cut by itself. ``edges`` are those of ``entity_partition``; for a graph
+    across documents, ``doc`` names a connected component, which has to fit into a task.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts, tree, mentions = Union(), [], set()
+        for r in by_affinity(pdf).itertuples(index=False):
+            a, b = 2 * int(r.src) + int(not r.to_entity), 2 * int(r.dst) + 1
+            mentions |= {x for x in (a, b) if x % 2}
+            if parts.root(a) != parts.root(b):
+                parts.join(a, b)
+                tree.append((r.affinity, a, b))
+        entity, todo = {}, [(set(parts.parent), tree)]
+        while todo:
+            nodes, kept = todo.pop()
+            parts, degree = Union(), Counter(x for _, a, b in kept for x in (a, b))
+            for _, a, b in kept:
+                parts.join(a, b)
+            own: dict[int, tuple[set[int], list]] = {}
+            for n in nodes:
+                own.setdefault(parts.root(n), (set(), []))[0].add(n)
+            for e in kept:
+                own[parts.root(e[1])][1].append(e)
+            for members, inner in own.values():
+                found = [n // 2 for n in members if n % 2 == 0]
+                if len(found) < 2:
+                    entity |= {n: found[0] for n in members if found}
+                    continue
+                free = lambda n: n % 2 == 0 or degree[n] > 1
+                least = min(w for w, a, b in inner if free(a) or free(b))  # noqa: B023
+                todo.append((members, [(w, a, b) for w, a, b in inner if w != least or not (free(a) or free(b))]))  # noqa: B023
+        m = sorted(mentions)
+        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "mention": [n // 2 for n in m], "entity": pd.array([entity.get(n) for n in m], "Int64")})
+
+    return edges.select("doc", "src", "dst", "affinity", "to_entity").groupBy("doc").applyInPandas(one, "doc long, mention long, entity long")

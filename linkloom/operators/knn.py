@@ -1,7 +1,9 @@
-"""Exact nearest-neighbour join by inner product, in blocks."""
+"""Nearest-neighbour joins by inner product: exact in blocks, approximate in cells."""
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,3 +23,27 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, blocks: int = 8) -> Da
     best = [F.desc("affinity"), F.asc("neighbour")]
     local = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query", "block").orderBy(*best))).filter(F.col("r") <= k).drop("r", "block")
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*best))).filter(F.col("rank") <= k)
+
+
+def cell_centres(base: DataFrame, cells: int, sample: int = 256) -> DataFrame:
+    """One row with ``centres``: the k-means centres of at most ``sample`` vectors a cell, those with the smallest hash of their id."""
+    chosen = base.orderBy(F.xxhash64("id"), "id").limit(cells * sample).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    found = KMeans(k=cells, seed=0, maxIter=10).fit(chosen).clusterCenters()
+    rows = [([(i, [float(x) for x in c]) for i, c in enumerate(found)],)]
+    return base.sparkSession.createDataFrame(rows, "centres array<struct<cell: int, centre: array<double>>>")
+
+
+def knn_join_cells(queries: DataFrame, base: DataFrame, k: int, cells: int = 200, probes: int = 75, sample: int = 256) -> DataFrame:
+    """(query, neighbour, affinity, rank) like ``knn_join``, of those in the ``probes`` cells whose centres are nearest to the query.
+
+    Each row of ``base`` is in the cell of its nearest centre. With as many probes as cells the result is exact. Only the centres are broadcast:
+    their number is a parameter.
+    """
+    centres = F.broadcast(cell_centres(base, cells, sample))
+    order = lambda v: F.transform(F.array_sort(F.transform("centres", lambda c: F.struct((-dot(v, c["centre"])).alias("d"), c["cell"].alias("cell")))), lambda x: x["cell"])
+    dealt = base.crossJoin(centres).select(F.col("id").alias("neighbour"), F.col("vec").alias("v"), F.get(order(F.col("vec")), F.lit(0)).alias("cell"))
+    sent = queries.crossJoin(centres).select(F.col("id").alias("query"), F.col("vec").alias("q"), F.explode(F.slice(order(F.col("vec")), 1, probes)).alias("cell"))
+    best = [F.desc("affinity"), F.asc("neighbour")]
+    near = sent.join(dealt, "cell").select("query", "cell", "neighbour", F.round(dot(F.col("q"), F.col("v")), 6).alias("affinity"))
+    local = near.withColumn("r", F.row_number().over(Window.partitionBy("query", "cell").orderBy(*best))).filter(F.col("r") <= k).drop("r", "cell")
+    return local.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*best))).filter(F.col("rank") <= k)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions.text import context_window, span, tokens
-from linkloom.operators.graph import entity_partition, spanning_forest
-from linkloom.operators.knn import knn_join
+from linkloom.operators.graph import divisive_partition, entity_partition, spanning_forest
+from linkloom.operators.knn import knn_join, knn_join_cells
 from linkloom.operators.linkage import agglomerate, best_threshold, gold_tree_edges, single_linkage_pairs, threshold_sweep
 from linkloom.plans.examples import TEXTS as EXAMPLES
 from linkloom.plans.relations import RELATIONS, duckdb
@@ -140,6 +140,12 @@ def knn_all(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return near.withColumn("rank", again).filter(F.col("rank") <= k).select("query", "neighbour", "affinity", "rank")
 
 
+def knn_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five near mentions of each entity, from three quarters of 16 cells."""
+    of = lambda name, key: RELATIONS[name](spark, sf_dir).select(F.col(key).alias("id"), F.col("embedding").alias("vec"))
+    return knn_join_cells(of("ent", "eidx"), of("men", "midx"), 5, cells=16, probes=12)
+
+
 KNN_ALL = "SELECT query, neighbour, affinity, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY affinity DESC, neighbour) AS INTEGER) AS rank FROM (SELECT a.idx AS query, b.idx AS neighbour, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS affinity FROM node a JOIN node b ON a.idx <> b.idx) x) y WHERE rank <= 5"
 
 
@@ -152,10 +158,12 @@ QUERIES = {name: query(text) for name, text in TEXTS.items()} | {
     "a13_best_threshold": lambda s, d: best_threshold(sweep(s, d)),
     "a30_partition_outcomes": partition_outcomes,
     "b4_softmax_rows": softmax_rows,
+    "g8_divisive_partition": lambda s, d: divisive_partition(joint_edges(s, d)),
     "g9_gold_tree_edges": lambda s, d: gold_tree_edges(RELATIONS["mm"](s, d)),
     "g11_exponential_linkage": lambda s, d: agglomerate(RELATIONS["mm"](s, d), "exponential"),
     "g14_single_linkage_pairs": lambda s, d: single_linkage_pairs(RELATIONS["mm"](s, d)),
     "g18_average_linkage": lambda s, d: agglomerate(RELATIONS["mm"](s, d)),
+    "j16_knn_in_cells": knn_in_cells,
     "j17_knn_all": knn_all,
 }
 #: Forests, merges and the constrained partition have no SQL; tests hold them against brute force.

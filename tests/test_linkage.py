@@ -6,7 +6,8 @@ from itertools import combinations
 
 import pytest
 
-from linkloom.operators.graph import components_by_doc
+from linkloom.operators.graph import components_by_doc, divisive_partition
+from linkloom.operators.knn import knn_join, knn_join_cells
 from linkloom.operators.linkage import agglomerate, best_threshold, single_linkage_pairs, threshold_sweep
 
 
@@ -89,3 +90,28 @@ def test_no_edges(graph):
     assert threshold_sweep(n, none).count() == agglomerate(none).count() == single_linkage_pairs(none).count() == 0
     with pytest.raises(ValueError):
         agglomerate(e, "complete")
+
+
+def test_cells(spark):
+    draw = random.Random(3)
+    rows = [(i, [draw.gauss(3 * (i % 4 == j), 1) for j in range(4)]) for i in range(400)]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    exact, near = knn_join(v, v, 5), lambda probes: set(map(tuple, knn_join_cells(v, v, 5, 8, probes).select("query", "neighbour", "rank").collect()))
+    want = set(map(tuple, exact.select("query", "neighbour", "rank").collect()))
+    assert near(8) == want
+    assert len({x[:2] for x in near(4)} & {x[:2] for x in want}) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize(
+    ("edges", "want"),
+    [
+        ([(0, 2, 0.9, True), (2, 3, 0.2, False), (1, 3, 0.8, True)], {2: 0, 3: 1}),
+        ([(0, 2, 0.9, True), (2, 3, 0.8, False), (1, 3, 0.1, True)], {2: 0, 3: 0}),
+        ([(0, 2, 0.5, True), (1, 2, 0.5, True), (2, 3, 0.9, False)], {2: None, 3: None}),
+        ([(0, 2, 0.5, True), (1, 2, 0.7, True), (2, 3, 0.1, False)], {2: 1, 3: None}),
+        ([(2, 3, 0.5, False)], {2: None, 3: None}),
+    ],
+)
+def test_divisive_partition(spark, edges, want):
+    df = spark.createDataFrame([(1, *e) for e in edges], "doc long, src long, dst long, affinity double, to_entity boolean")
+    assert {r["mention"]: r["entity"] for r in divisive_partition(df).collect()} == want
