@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkloom.operators.graph import Union, by_affinity, spanning_forest
+from linkloom.operators.graph import Union, by_affinity, components_by_doc, spanning_forest
 
 
 def merge_gains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -127,3 +127,26 @@ def single_linkage_pairs(edges: DataFrame, far: float = 0.85) -> DataFrame:
     hard = ends.filter(F.coalesce(nearest < F.col("d"), F.lit(False)) | F.coalesce(nearest < far, F.lit(False)) | (F.col("d") > far))
     rows = hard.filter("o is not null").select("doc", F.lit(-1.0).alias("coefficient"), "a", F.col("o.b").alias("b")).distinct()
     return hard.select("doc", F.lit(1.0).alias("coefficient"), "a", "b").unionByName(rows)
+
+
+def cut_for(nodes: DataFrame, forest: DataFrame, parts: int) -> float:
+    """The smallest affinity of the forest whose strict cut leaves at least ``parts`` components; infinity if none does.
+
+    A forest of n nodes falls into n less the edges kept, so a running count finds it.
+    """
+    n = nodes.count()
+    above = Window.orderBy(F.desc("affinity")).rowsBetween(Window.unboundedPreceding, -1)
+    left = forest.groupBy("affinity").count().select("affinity", (F.lit(n) - F.coalesce(F.sum("count").over(above), F.lit(0))).alias("components"))
+    found = left.filter(F.col("components") >= parts).agg(F.min("affinity")).first()[0]
+    return float("inf") if found is None else found
+
+
+def curriculum(nodes: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
+    """(gold, component, place): gold clusters in the order in which components, by their smallest node, first hold one of their mentions.
+
+    Components are those of the cut that leaves at least ``parts``. Ties within a component go by gold.
+    """
+    forest = spanning_forest(edges)
+    found = components_by_doc(nodes.select("doc", "node"), forest, cut_for(nodes, forest, parts))
+    first = found.join(nodes.select("doc", "node", "gold"), ["doc", "node"]).groupBy("gold").agg(F.min("component").alias("component"))
+    return first.withColumn("place", F.row_number().over(Window.orderBy("component", "gold")) - 1)

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from linkloom.functions.text import context_window, span, tokens
 from linkloom.operators.graph import divisive_partition, entity_partition, spanning_forest
 from linkloom.operators.knn import knn_join, knn_join_cells
-from linkloom.operators.linkage import agglomerate, best_threshold, gold_tree_edges, single_linkage_pairs, threshold_sweep
+from linkloom.operators.linkage import agglomerate, best_threshold, curriculum, gold_tree_edges, single_linkage_pairs, threshold_sweep
 from linkloom.plans.examples import TEXTS as EXAMPLES
 from linkloom.plans.relations import RELATIONS, duckdb
 
@@ -113,6 +113,11 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_sweep(m, RELATIONS["mm"](spark, sf_dir))
 
 
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = RELATIONS["men"](spark, sf_dir).select("doc", F.col("midx").alias("node"), "gold")
+    return curriculum(m, RELATIONS["mm"](spark, sf_dir), 100)
+
+
 def softmax_rows(spark: SparkSession, sf_dir: str, negatives: int = 3) -> DataFrame:
     """Rows of one positive (slot 0) and some negatives for each anchor; both lists, by falling affinity, start again when they end."""
     best = F.struct((-F.col("affinity")).alias("d"), "b")
@@ -162,6 +167,7 @@ QUERIES = {name: query(text) for name, text in TEXTS.items()} | {
     "g9_gold_tree_edges": lambda s, d: gold_tree_edges(RELATIONS["mm"](s, d)),
     "g11_exponential_linkage": lambda s, d: agglomerate(RELATIONS["mm"](s, d), "exponential"),
     "g14_single_linkage_pairs": lambda s, d: single_linkage_pairs(RELATIONS["mm"](s, d)),
+    "g16_curriculum": batches,
     "g18_average_linkage": lambda s, d: agglomerate(RELATIONS["mm"](s, d)),
     "j16_knn_in_cells": knn_in_cells,
     "j17_knn_all": knn_all,

@@ -6,9 +6,9 @@ from itertools import combinations
 
 import pytest
 
-from linkloom.operators.graph import components_by_doc, divisive_partition
+from linkloom.operators.graph import components_by_doc, divisive_partition, spanning_forest
 from linkloom.operators.knn import knn_join, knn_join_cells
-from linkloom.operators.linkage import agglomerate, best_threshold, single_linkage_pairs, threshold_sweep
+from linkloom.operators.linkage import agglomerate, best_threshold, curriculum, cut_for, single_linkage_pairs, threshold_sweep
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +115,16 @@ def test_cells(spark):
 def test_divisive_partition(spark, edges, want):
     df = spark.createDataFrame([(1, *e) for e in edges], "doc long, src long, dst long, affinity double, to_entity boolean")
     assert {r["mention"]: r["entity"] for r in divisive_partition(df).collect()} == want
+
+
+def test_curriculum(graph):
+    nodes, edges, n, e = graph
+    forest = spanning_forest(e)
+    weights = sorted({r["affinity"] for r in forest.collect()})
+    size = lambda t: len({r["component"] for r in components_by_doc(n, e, t).collect()})
+    for parts in (1, 12, 35):
+        cut = cut_for(n, forest, parts)
+        assert cut == next((w for w in weights if size(w) >= parts), float("inf"))
+    found = {r["node"]: r["component"] for r in components_by_doc(n, e, cut_for(n, forest, 12)).collect()}
+    first = sorted((min(found[x] for _, x, h in nodes if h == g), g) for g in {g for _, _, g in nodes})
+    assert sorted(map(tuple, curriculum(n, e, 12).select("place", "component", "gold").collect())) == [(i, c, g) for i, (c, g) in enumerate(first)]
