@@ -99,9 +99,10 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int, share: float) ->
     near = checkpointed(near.join(holds, "entity"))
     if near.isEmpty():
         return near.select("entity", "term")
-    n = docs.select(F.xxhash64("text").alias("same")).agg(total).first()["n"]
-    # A row for each distinct term of a document; counted on the map side before anything is shuffled.
-    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
+    # One row a distinct text, with its distinct terms; those are counted on the map side before they are shuffled.
+    texts = docs.select(F.md5(F.col("text").cast("binary")).alias("same"), F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))), " ").alias("terms")).dropDuplicates(["same"])
+    n = docs.select(F.md5(F.col("text").cast("binary")).alias("same")).agg(total).first()["n"]
+    seen = texts.filter("terms <> ''").select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
     scored = near.join(seen, "term").filter(F.log(F.col("c") * n / (F.col("c_e") * F.greatest("c_t", "c"))) >= share * F.log(F.lit(n) / F.col("c_e")))
     return scored.filter(F.col("c_e") < n).select("entity", "term")
 

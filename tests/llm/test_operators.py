@@ -93,6 +93,15 @@ def test_private(spark, df, docs):
     assert not spans[100]
 
 
+def test_copies_hide_no_term(spark):
+    told = [(i, f"write to Zorblatt at z0@q.org about thing{i}") for i in range(4)] + [(100 + i, f"plain words number {i}") for i in range(40)]
+    told += [(200 + i, told[0][1]) for i in range(30)]
+    spans = {r["doc_id"]: r["spans"] for r in private_spans(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    for d in (0, 3, 200, 229):
+        assert "Zorblatt" in {dict(told)[d][s["start"] : s["end"]] for s in spans[d] if s["kind"] == "term"}
+    assert not spans[100]
+
+
 def test_mixing(df, docs):
     rows = op4_mixing.mix(df).collect()
     again = op4_mixing.mix(df.repartition(5)).collect()
