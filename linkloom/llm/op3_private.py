@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation, in DataFrame functions alone.
 
 Emails, IP addresses, card and phone numbers are the protected entities: patterns find them, and their checks drop what fails. Then the corpus tells which
-words near an entity give it away. With N documents, of which c_e hold the entity, c_t the term and c both, one near the other, the term reveals
-PMI = log(c * N / (c_e * c_t)) of the entity's information IC = log(N / c_e). A term that does so in at least ``support`` distinct texts and
-reveals at least ``share`` of it is disclosing: it becomes a span of kind ``term`` wherever it stands near that entity.
+words beside an entity give it away. With N distinct texts, of which c_e hold the entity, c_t the term and c both, anywhere in them, the term reveals
+PMI = log(c * N / (c_e * c_t)) of the entity's information IC = log(N / c_e). A term that stands with it in at least ``support`` distinct texts and
+reveals at least ``share`` of it is disclosing: it becomes a span of kind ``term`` wherever it stands, in any text. Equal texts count once.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm._docs import table
-from linkloom.llm._spark import checkpointed
+from linkloom.llm._spark import checkpointed, small
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that a failed attempt is not repeated from within the same run of characters and no group recurses.
@@ -26,8 +26,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-#: Code points on either side of an entity within which terms count as near; letters of a term.
-NEAR, TERM = 60, r"\p{L}{4,}+"
+#: A term: a run of letters, marks and digits, of any length.
+TERM = r"[\p{L}\p{M}\p{N}]++"
 SUPPORT, SHARE = 3, 0.9
 
 
@@ -74,55 +74,78 @@ def entities(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def near_terms(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: words near each span, whole ones only."""
+def cleared(text: Column, spans: Column) -> Column:
+    """The text with a space for each code point of a span, so that places stay. Spans of different kinds may overlap."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def step(a: Column, s: Column) -> Column:
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], a["at"]), F.lit(0)))
+        more = F.concat(a["out"], F.substr(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), blank)
+        return F.struct(more.alias("out"), F.greatest(s["end"], a["at"]).alias("at"))
+
+    last = lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, last))
 
-    def side(s: Column, left: bool) -> Column:
-        lo = F.greatest(s["start"] - NEAR, F.lit(0)) if left else s["end"]
-        piece = F.substr(text, lo + 1, s["start"] - lo) if left else F.substr(text, lo + 1, F.lit(NEAR))
-        # A word that the edge cuts is not a term: it gets a digit's place, so that positions stay.
-        whole = piece.rlike("^$") | (lo == 0) if left else F.length(piece) < NEAR
-        cut = F.regexp_extract(piece, r"^[\p{L}\p{N}]+" if left else r"[\p{L}\p{N}]+$", 0)
-        blank = F.repeat(F.lit(" "), F.length(cut))
-        cleared = F.concat(blank, F.substr(piece, F.length(cut) + 1)) if left else F.concat(F.substr(piece, F.lit(1), F.length(piece) - F.length(cut)), blank)
-        terms = located(F.when(whole, piece).otherwise(cleared), TERM)
-        return F.transform(terms, lambda t: F.struct(F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + lo).alias("start"), (t["end"] + lo).alias("end")))
 
-    return F.flatten(F.transform(spans, lambda s: F.concat(side(s, True), side(s, False))))
+def words(text: Column) -> Column:
+    """The distinct terms of a text in lower case, with spaces between them."""
+    low = F.lower(F.array_join(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), " "))
+    return F.array_join(F.array_distinct(F.split(low, " ")), " ")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, support: int, share: float) -> DataFrame:
-    """(entity, term) of the terms that reveal too much of an entity. Equal texts count once."""
-    total = F.count_distinct("same").alias("n")
-    near = found.select("same", F.explode("near").alias("x")).select("same", "x.entity", "x.term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= support)
-    holds = found.select("same", F.explode("spans").alias("s")).select("same", F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
-    near = checkpointed(near.join(holds, "entity"))
-    if near.isEmpty():
-        return near.select("entity", "term")
-    # One row a distinct text, with its distinct terms; those are counted on the map side before they are shuffled.
-    texts = docs.select(F.md5(F.col("text").cast("binary")).alias("same"), F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))), " ").alias("terms")).dropDuplicates(["same"])
-    n = docs.select(F.md5(F.col("text").cast("binary")).alias("same")).agg(total).first()["n"]
-    seen = texts.filter("terms <> ''").select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
-    scored = near.join(seen, "term").filter(F.log(F.col("c") * n / (F.col("c_e") * F.greatest("c_t", "c"))) >= share * F.log(F.lit(n) / F.col("c_e")))
-    return scored.filter(F.col("c_e") < n).select("entity", "term")
+def occurrences(text: Column, terms: Column) -> Column:
+    """array<struct<kind, start, end>> of all places of the terms in a text, in one pass over its words."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), F.lower(h).alias("term")))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+
+    def step(a: Column, s: Column) -> Column:
+        start = a["at"] + s["gap"]
+        here = F.struct(F.lit("term").alias("kind"), start.alias("start"), (start + s["size"]).alias("end"))
+        return F.struct(F.when(F.array_contains(terms, s["term"]), F.concat(a["out"], F.array(here))).otherwise(a["out"]).alias("out"), (start + s["size"]).alias("at"))
+
+    return F.aggregate(steps, F.struct(none.alias("out"), F.lit(0).alias("at")), step, lambda a: a["out"])
+
+
+def disclosing(texts: DataFrame, support: int, share: float) -> DataFrame | None:
+    """(term) of the terms that reveal too much of an entity, or None if no entity has the support. ``texts`` has a row a distinct text: same, entities, words."""
+    holds = texts.filter(F.size("entities") > 0).select("same", F.explode("entities").alias("entity"))
+    n = texts.count()
+    kept = checkpointed(holds.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).filter((F.col("c_e") >= support) & (F.col("c_e") < n)))
+    total, most = kept.agg(F.count(F.lit(1)), F.max("c_e")).first()
+    if not total:
+        return None
+    held = checkpointed(holds.join(small(kept, total), "entity"))
+    # c is at most c_e, so a term with a larger c_t than this can't disclose. No pair that counts is lost by it.
+    bound = lambda c_e: n * F.pow(c_e / n, F.lit(share)) * (1 + 1e-9)
+    each = texts.filter("words <> ''").select("same", F.explode(F.split("words", " ")).alias("term"))
+    # Counted on the map side before anything is shuffled.
+    seen = each.groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).filter((F.col("c_t") >= support) & (F.col("c_t") <= bound(F.lit(most))))
+    there = texts.join(held.select("same").distinct(), "same", "left_semi").filter("words <> ''").select("same", F.explode(F.split("words", " ")).alias("term"))
+    pairs = there.join(seen, "term").join(held, "same").filter(F.col("c_t") <= bound(F.col("c_e")))
+    found = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"), F.first("c_e").alias("c_e"), F.first("c_t").alias("c_t")).filter(F.col("c") >= support)
+    return found.filter(F.log(F.col("c") * n / (F.col("c_e") * F.col("c_t"))) >= share * F.log(F.lit(n) / F.col("c_e"))).select("term").distinct()
 
 
 def private_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """One row a document: doc_id, same (hash of the text), spans: array<struct<kind, start, end>>, base spans by kind then start, then the disclosing terms by start.
+    """One row a document: doc_id, same (hash of the text), base: array<struct<kind, start, end>>, spans by kind then start, and spans: those, then all places of disclosing terms by start.
 
-    A null or empty text has no spans. Repeated rows get the same spans each. Spans of different kinds may overlap. Other columns are not read; an empty table gives no rows.
+    A null or empty text has no spans. Repeated rows get the same spans each. Spans of different kinds may overlap, but no term lies in a base span. Other columns are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), "text", entities(F.col("text")).alias("spans"))
-    found = checkpointed(found.select("doc_id", "same", "spans", F.when(F.size("spans") > 0, near_terms(F.col("text"), F.col("spans"))).alias("near")))
-    told = disclosing(docs, found.filter(F.size("spans") > 0), support, share)
-    terms = (
-        found.filter(F.size("near") > 0).select("doc_id", "same", F.explode("near").alias("x")).select("doc_id", "same", "x.entity", "x.term", "x.start", "x.end").distinct()
-        .join(told, ["entity", "term"]).groupBy("doc_id", "same").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("more"))
-    )
-    base = F.transform("spans", lambda s: s.dropFields("value"))
-    out = found.alias("f").join(terms.alias("t"), F.expr("f.doc_id <=> t.doc_id and f.same = t.same"), "left")
-    return out.select("f.doc_id", "f.same", base.alias("base"), F.concat(base, F.coalesce("t.more", F.array().cast("array<struct<kind:string,start:int,end:int>>"))).alias("spans"))
+    docs = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), "text", entities(F.col("text")).alias("found"))
+    named = F.array_distinct(F.transform("found", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
+    texts = checkpointed(docs.select("same", named.alias("entities"), words(cleared(F.col("text"), F.col("found"))).alias("words")).dropDuplicates(["same"]))
+    told = disclosing(texts, support, share)
+    base = F.transform("found", lambda s: s.dropFields("value"))
+    if told is None:
+        return docs.select("doc_id", "same", base.alias("base"), base.alias("spans"))
+    told = checkpointed(told)
+    where = checkpointed(texts.filter("words <> ''").select("same", F.explode(F.split("words", " ")).alias("term")).join(small(told, told.count()), "term"))
+    marks = where.groupBy("same").agg(F.collect_list("term").alias("terms"))
+    out = docs.join(small(marks, where.count()), "same", "left")
+    more = F.when(F.col("terms").isNotNull(), occurrences(cleared(F.col("text"), F.col("found")), F.col("terms")))
+    return out.select("doc_id", "same", base.alias("base"), F.concat(base, F.coalesce(more, F.array().cast("array<struct<kind:string,start:int,end:int>>"))).alias("spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:

@@ -102,6 +102,16 @@ def test_copies_hide_no_term(spark):
     assert not spans[100]
 
 
+def test_terms_of_whole_documents(spark):
+    far = " ".join(f"filler{k}" for k in range(40))
+    told = [(i, f"Zorblatt {far} Ed x{i} z0@q.org, z9@r.org {far} b4d9 Zorblatt 李雷") for i in range(4)] + [(100 + i, f"plain {far} words number {i}") for i in range(40)]
+    told += [(200, "no address, but zorblatt and zorblatts")]
+    rows = {r["doc_id"]: r for r in private_spans(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    marked = {d: [dict(told)[d][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"] for d, r in rows.items()}
+    assert marked[0] == marked[3] == ["Zorblatt", "Ed", "b4d9", "Zorblatt", "李雷"] and marked[200] == ["zorblatt"] and not marked[100]
+    assert all(r["spans"][: len(r["base"])] == r["base"] for r in rows.values()) and len(rows[0]["base"]) == 2
+
+
 def test_mixing(df, docs):
     rows = op4_mixing.mix(df).collect()
     again = op4_mixing.mix(df.repartition(5)).collect()
