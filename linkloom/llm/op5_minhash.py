@@ -153,14 +153,39 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with a column ``key``, and how many ids are null or repeated. The key is the id; where that is null or repeated, a negative hash of id and text, so that
+    rows with different texts have different keys (63 bits: among 10 million such rows, two share one with a probability of 5e-6)."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("__id"))
+    clash = checkpointed(ids.groupBy("__id").agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1 or __id is null"))
+    many = clash.count()
+    id_ = F.col("doc_id").cast("long")
+    if not many:
+        return docs.withColumn("key", id_), 0
+    own = F.bitwise_not(F.shiftrightunsigned(F.xxhash64(id_, F.col("text").cast("binary")), 1))
+    marked = docs.join(small(clash, many), id_ == F.col("__id"), "left")
+    return marked.withColumn("key", F.when(id_.isNull() | F.col("__rows").isNotNull(), own).otherwise(id_)).drop("__id", "__rows"), many
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest doc_id that links reach), kept (whether it is that one).
+    """One row a document: doc_id, n_shingles, component_id (smallest doc_id that links reach), kept (whether the row is that one).
 
-    Null and empty texts, and texts without words, have no shingles and link with nothing; fewer words than a shingle are one. Rows that share a
-    doc_id are one node. A null doc_id counts as the largest and is returned as null. Other columns are not read; an empty table gives no rows.
+    Null and empty texts, and texts without words, have no shingles and link with nothing; fewer words than a shingle are one. Rows with a null or
+    a repeated doc_id are documents of their own, each by its text. A null doc_id counts as the largest and is returned as null. Of a component's rows with the smallest
+    doc_id, those of one text are kept. Other columns are not read; an empty table gives no rows.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return grouped(*keyed(docs.select("doc_id", "text")), shingle, percent).drop("key")
+
+
+def grouped(docs: DataFrame, clashes: int, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``near_duplicates`` for what ``keyed`` gives, with their keys. The keys are the nodes; a doc_id serves for what is reported and for the order."""
+    rows = docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    names = checkpointed(rows.filter("doc_id is null or key <> doc_id").select("key", "doc_id").distinct()) if clashes else None
+    docs = rows.select(F.col("key").alias("doc_id"), "text")
     slim = checkpointed(signed(docs, shingle))
+    if clashes:  # a key's text once, where full sets are compared
+        alone = rows.filter("key = doc_id").select("key", "text")
+        docs = alone.unionByName(rows.filter("doc_id is null or key <> doc_id").select("key", "text").dropDuplicates(["key"])).withColumnRenamed("key", "doc_id")
     nodes = slim.filter("n > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("bands").alias("bands"))
     nodes = checkpointed(nodes)
     spread = nodes.select("id", F.explode("bands").alias("band"))
@@ -192,9 +217,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     more = judged(docs, checkpointed(rest), shingle, percent).filter("link").select("a", "b")
     found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     placed = nodes.select("same", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component"))
+    out = slim.select(F.col("doc_id").alias("key"), "n", "same").join(placed, "same", "left").withColumn("component", F.coalesce("component", "key"))
+    if names is None:
+        return out.select("key", F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("component") == F.col("key")).alias("kept"))
+    many = names.count()
+    out = out.join(small(names.select("key", F.coalesce("doc_id", F.lit(LAST_ID)).alias("real")), many), "key", "left").withColumn("real", F.coalesce("real", "key"))
+    out = checkpointed(out.select("key", "n", "component", "real"))
+    first = out.groupBy("component").agg(F.min(F.struct("real", "key")).alias("top"))
+    out = out.join(first, "component")
     real = lambda c: F.nullif(F.col(c), F.lit(LAST_ID))
-    out = slim.select("doc_id", "n", "same").join(placed, "same", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("component") == F.col("doc_id")).alias("kept"))
+    return out.select("key", real("real").alias("doc_id"), F.col("n").alias("n_shingles"), real("top.real").alias("component_id"), (F.col("top.key") == F.col("key")).alias("kept"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,13 @@ All but the last return the columns of ``documents``, and pass their rows' other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm._docs import table
 from linkloom.llm._spark import checkpointed, small
 from linkloom.llm.op4_mixing import mix
-from linkloom.llm.op5_minhash import near_duplicates
+from linkloom.llm.op5_minhash import grouped, keyed
 from linkloom.llm.op6_language import UNKNOWN, identify, learn
 from linkloom.llm.op7_decontaminate import remove_contaminated
 from linkloom.llm.op8_sharding import lpt_shards
@@ -23,10 +23,6 @@ def columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def same_id(a: str, b: str) -> Column:
-    return F.expr(f"{a}.doc_id <=> {b}.doc_id")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: texts without a letter are rejected. Profiles come from the labelled documents of the input."""
     docs = columns(docs)
@@ -34,17 +30,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Rows that share a doc_id are of one group, so one of them stays."""
-    docs = columns(docs)
-    seen = checkpointed(near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
-    gone, more = seen.filter(~F.col("kept")), seen.filter("kept and rows > 1")
-    out = docs.alias("d").join(small(gone, gone.count()).alias("g"), same_id("d", "g"), "left_anti")
-    many = more.count()
-    if not many:
-        return out
-    more = small(more, many).alias("m")
-    repeated = docs.alias("d").join(more, same_id("d", "m"), "left_semi").dropDuplicates(["doc_id"])
-    return out.alias("d").join(more, same_id("d", "m"), "left_anti").unionByName(repeated)
+    """One document of each group of near duplicates: the one with the smallest doc_id. A row goes if its own text links to one that stays.
+
+    Rows with a null doc_id are documents of their own. Of rows that share a doc_id and would stay, one does, so that no doc_id stands twice.
+    """
+    docs, clashes = keyed(columns(docs))
+    seen = checkpointed(grouped(docs, clashes).filter("not kept").select("key").distinct())
+    out = docs.join(small(seen, seen.count()), "key", "left_anti")
+    if not clashes:
+        return columns(out)
+    copies = F.col("doc_id").isNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    repeated = F.col("doc_id").isNotNull() & (F.col("key") != F.col("doc_id"))
+    rest = out.filter(~F.coalesce(copies | repeated, F.lit(False)))
+    return columns(rest.unionByName(out.filter(copies).dropDuplicates(["key"])).unionByName(out.filter(repeated).dropDuplicates(["doc_id"])))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +51,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one that it does not take goes. Needs distinct doc_ids, as the stages before leave them."""
+    """Each document as often as the mix takes it; one that it does not take goes. Needs distinct doc_ids, and distinct texts where they are null, as the stages before leave them."""
     docs = columns(docs)
-    taken = mix(docs).filter("times > 0").select("doc_id", "times")
-    out = docs.alias("d").join(taken.alias("t"), same_id("d", "t"))
-    return out.select(*[f"d.{c}" for c in COLUMNS], F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("__copy")).drop("__copy")
+    own = F.bitwise_not(F.shiftrightunsigned(F.xxhash64("text"), 1))  # stands for a null id
+    docs = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), own))
+    taken = mix(docs.select(F.col("key").alias("doc_id"), "text", "source")).filter("times > 0").select(F.col("doc_id").alias("key"), "times")
+    return columns(docs.join(taken, "key").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("times")))))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,6 +130,21 @@ def test_near_duplicates(df, docs):
     assert near_duplicates(df).count() == len(docs)
 
 
+def test_null_and_repeated_ids_lose_no_document(spark):
+    draw = random.Random(8)
+    text = lambda: " ".join(f"u{draw.randrange(900)}" for _ in range(60))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    rows = [(5, a), (7, b), (None, a + " x"), (None, b + " x"), (None, c), (None, d), (None, d), (None, d + " x"), (9, a + " y"), (9, e), (11, f), (11, f), (3, g), (11, g + " z")]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = near_duplicates(df, 4)
+    assert got.count() == len(rows) and sorted(map(repr, got.filter("kept").select("doc_id").distinct().collect())) == sorted(f"Row(doc_id={i})" for i in (3, 5, 7, 9, 11, None))
+    left = sorted(((r["doc_id"] or 0, r["text"]) for r in stages.near_dedup(spark, df, SF).collect()), key=str)
+    known = [x for x in left if x[1] not in (d, d + " x")]
+    assert known == sorted([(5, a), (7, b), (0, c), (9, e), (11, f), (3, g)], key=str) and len(left) == 7
+    mixed = {r["text"] for r in stages.mixing(spark, df.filter("doc_id is null").dropDuplicates(["text"]), SF).collect()}
+    assert len(mixed) == 5 and stages.mixing(spark, df.filter("doc_id is null").dropDuplicates(["text"]), SF).count() == 5
+
+
 def test_chain_of_near_duplicates(spark):
     draw = random.Random(6)
     words = [f"v{i}" for i in range(400)]
