@@ -234,6 +234,16 @@ def test_empty_tables(spark, df):
     assert hamming_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_language_stage_rejects_by_profiles(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    draw = random.Random(9)
+    odd = [(10**6 + i, " ".join("".join(draw.choice("qwrtpsdfghjklzxcvbnm") for _ in range(draw.randint(3, 9))) for _ in range(80)), None, "a", 1) for i in range(5)] + [(10**7, "12 34", None, "a", 1), (10**7 + 1, None, None, "a", 1)]
+    both = d.unionByName(spark.createDataFrame(odd, d.schema))
+    assert sorted(r["doc_id"] for r in stages.language(spark, both, SF).collect()) == sorted(r["doc_id"] for r in d.collect())
+    bare = both.withColumn("lang", F.lit(None).cast("string"))
+    assert stages.language(spark, bare, SF).count() == d.count() + 5
+
+
 def test_stages(spark, df):
     out = stages.language(spark, df, SF)
     assert out.columns == list(stages.COLUMNS) and out.filter("text is null").isEmpty()
