@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linkloom.llm._docs import table
 from linkloom.llm._spark import checkpointed, from_rows, small
@@ -102,7 +103,8 @@ def land(prob: list[float], size: list[int], draw: np.random.Generator) -> list[
 LEVEL = "doc_id long, size long, source int, block long, prob double"
 
 
-def flown(df: DataFrame, level: int, last: bool) -> DataFrame:
+def flown(df: DataFrame, level: int, last: dict[int, int]) -> DataFrame:
+    """One level of the flight; a source lands at its own last level, whatever the others still have to do."""
     names = ["doc_id", "size", "source", "block", "prob"]
 
     def one(block: pa.Table) -> pa.Table:
@@ -115,7 +117,7 @@ def flown(df: DataFrame, level: int, last: bool) -> DataFrame:
         order = np.lexsort((prob, size, ids, mixed ^ (mixed >> np.uint64(29))))
         block = block.select(names).take(pa.array(order))
         draw = np.random.Generator(np.random.Philox([SEED + level, (block.column("source")[0].as_py() << 32) + block.column("block")[0].as_py()]))
-        done = (land if last else fly)(prob[order].tolist(), size[order].tolist(), draw)
+        done = (land if level == last[block.column("source")[0].as_py()] else fly)(prob[order].tolist(), size[order].tolist(), draw)
         return block.set_column(4, "prob", pa.array(done, pa.float64()))
 
     return df.groupBy("source", "block").applyInArrow(one, LEVEL)
@@ -146,26 +148,37 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     found = slim.groupBy("name").agg(F.sum("size").alias("size"), F.count(F.when(F.col("size") > 0, 1)).alias("docs")).collect()
     found.sort(key=lambda r: (r["name"] is None, r["name"] or ""))
     aims = targets([r["size"] for r in found], weights, most)
-    plan, most_docs = [], 1
+    # The largest documents of a source with several levels wait for its landing too: those larger than its eighth largest, at most 7 rows a source.
+    many = [r["name"] for r in found if r["docs"] > BLOCK]
+    cuts = {}
+    if many:
+        of = F.col("name").isin([m for m in many if m is not None]) | (F.col("name").isNull() & F.lit(None in many))
+        place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("size")))
+        top = slim.filter(F.coalesce(of, F.lit(False))).select("name", "size", place.alias("place")).filter(F.col("place") <= AHEAD * 2 // 3)
+        cuts = {r["name"]: r["cut"] for r in top.groupBy("name").agg(F.min("size").alias("cut")).collect()}
+    plan, last = [], {}
     for i, (r, aim) in enumerate(zip(found, aims, strict=True)):
         rate = aim / r["size"] if r["size"] else 0.0
         whole = int(rate + NEAR)
-        plan.append((r["name"], i, r["size"], aim, whole, max(0.0, rate - whole), max(1, -(-r["docs"] // BLOCK))))
-        most_docs = max(most_docs, r["docs"])
-    plan = small(from_rows(spark, plan, "name string, source int, source_size long, target double, whole int, part double, blocks long").alias("p"), len(plan))
+        last[i] = len(list(levels(r["docs"]))) - 1
+        plan.append((r["name"], i, r["size"], aim, whole, max(0.0, rate - whole), max(1, -(-r["docs"] // BLOCK)), last[i], cuts.get(r["name"])))
+    plan = small(from_rows(spark, plan, "name string, source int, source_size long, target double, whole int, part double, blocks long, last int, cut long").alias("p"), len(plan))
     due = slim.alias("d").join(plan, F.expr("d.name <=> p.name")).select(
-        "d.doc_id", "d.size", "p.source", "p.source_size", "p.target", "p.whole", F.when(F.col("d.size") > 0, F.col("part")).otherwise(0.0).alias("prob"),
-        F.pmod(F.xxhash64("d.doc_id", F.lit(SEED)), F.col("blocks")).alias("block"),
+        "d.doc_id", "d.size", "p.source", "p.last", F.when(F.col("d.size") > 0, F.col("part")).otherwise(0.0).alias("prob"),
+        F.pmod(F.xxhash64("d.doc_id", F.lit(SEED)), F.col("blocks")).alias("block"), F.coalesce(F.col("d.size") > F.col("p.cut"), F.lit(False)).alias("parked"),
     )
     shares = plan.select("source", "source_size", "target", "whole")
-    steps = list(levels(most_docs))
-    open_, settled = due.select("doc_id", "size", "source", "block", "prob"), []
-    for level, _ in enumerate(steps):
-        last = level == len(steps) - 1
+    names = ["doc_id", "size", "source", "block", "prob"]
+    parked = due.filter("parked").withColumn("block", F.lit(0).cast("long"))
+    open_, settled = due.filter("not parked").select(names), []
+    end = max(last.values(), default=0)
+    for level in range(end + 1):
+        if level and many:
+            open_ = open_.unionByName(parked.filter(F.col("last") == level).select(names))
         out = checkpointed(flown(open_, level, last))
         undecided = (F.col("prob") > 0) & (F.col("prob") < 1)
-        settled.append(out if last else out.filter(~undecided))
-        open_ = out.filter(undecided).withColumn("block", (F.col("block") / F.lit(BLOCK // 2)).cast("long") if level + 2 < len(steps) else F.lit(0).cast("long"))
+        settled.append(out if level == end else out.filter(~undecided))
+        open_ = out.filter(undecided).withColumn("block", (F.col("block") / F.lit(BLOCK // 2)).cast("long"))  # 0 where one block of the source is left
     done = settled[0]
     for df in settled[1:]:
         done = done.unionByName(df)

@@ -124,6 +124,16 @@ def test_mixing(df, docs):
     assert op4_mixing.targets([10, 1000, 100]) == pytest.approx([30, 780, 300]) and op4_mixing.targets([0, 0]) == [0, 0]
 
 
+def test_mixing_lands_each_source_alike(spark):
+    draw = random.Random(3)
+    rows = [(i, "a", draw.randint(20, 40)) for i in range(op4_mixing.BLOCK + 200)] + [(9000 + i, "a", 3001 + 977 * i) for i in range(6)]
+    small = [(20000 + i, "b", n) for i, n in enumerate([9000, 7001, 5003, 4001, 2503, 1201, 801, 403, 201, 101, 51, 23, 11, 7, 3])]
+    got = op4_mixing.mix(spark.createDataFrame([(d, "w " * n, s) for d, s, n in rows + small], "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows + small)
+    for own in ([r for r in got if r["doc_id"] < 20000], [r for r in got if r["doc_id"] >= 20000]):
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 30
+
+
 def test_near_duplicates(df, docs):
     rows = [d for d in docs if d[0] is not None and d[0] != 230]
     same(near_duplicates(df.filter("doc_id is not null and doc_id <> 230"), 4).collect(), brute.near(rows))
