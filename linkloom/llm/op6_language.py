@@ -6,23 +6,25 @@ over its own profile, of how far out of place each n-gram stands in the language
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.window import Window
 
 from linkloom.llm._docs import table
-from linkloom.llm._spark import checkpointed
+from linkloom.llm._spark import bounded_batches, checkpointed, released
 
 #: N-grams in a profile.
 PROFILE = 400
 #: About so many labelled documents of each language are learned from: the bound of the sample.
 SAMPLE = 1500
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters whose n-grams are counted at once.
+PIECE = 1 << 18
 _BITS = np.uint64(21)
 
 
@@ -39,12 +41,19 @@ def letters(text: str) -> np.ndarray:
 
 
 def profile(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of a text as integers, and how often each occurs."""
+    """All n-grams of a text as integers, and how often each occurs; long texts are counted in pieces."""
+    found = [counted(x[lo : lo + PIECE + 2], PIECE) for lo in range(0, max(1, len(x)), PIECE)]
+    return found[0] if len(found) == 1 else added(found)
+
+
+def counted(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that start in the first ``size`` letters, and their counts."""
     x = x.astype(np.uint64)
     pairs = (x[:-1] << _BITS) | x[1:]
     triples = (pairs[:-1] << _BITS) | x[2:]
-    triples = triples[x[1:-1] > 0]  # none spans two words
-    grams = np.concatenate((x[x > 0], pairs | np.uint64(1) << np.uint64(63), triples))
+    triples = triples[:size][x[1:-1][:size] > 0]  # none spans two words
+    single = x[:size]
+    grams = np.concatenate((single[single > 0], pairs[:size] | np.uint64(1) << np.uint64(63), triples))
     if not len(grams):
         return grams, np.empty(0, np.int64)
     grams.sort()
@@ -71,11 +80,11 @@ def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> dict[st
     if not counts:
         return {}
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample / n))])
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) < share[F.col("lang")] * F.lit(1 << 20)).select("lang", "text")
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(6), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 20)) < share[F.col("lang")] * F.lit(1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in sliced(batches):
+        for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found.setdefault(lang, []).append(profile(letters(text)))
                 if len(found[lang]) >= 64:
@@ -84,15 +93,13 @@ def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> dict[st
             grams, n = added(parts)
             yield pa.record_batch([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    total = checkpointed(chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    top = lambda lang: total.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(size)
-    return {lang: found for lang in counts if (found := [r["gram"] for r in top(lang).collect()])}  # size rows a language
-
-
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that what is made of one stays small."""
-    for batch in batches:
-        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+    bounded_batches(docs.sparkSession)
+    total = checkpointed(chosen.mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top: dict[str, list[int]] = {}
+    for r in total.withColumn("place", place).filter(F.col("place") <= size).orderBy("lang", "place").collect():  # size rows a language
+        top.setdefault(r["lang"], []).append(r["gram"])
+    return top
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +113,7 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1: how much nearer the best language is than a text with nothing in common).
 
-    ``und`` with score 0 for a null or empty text, one without a letter, and for all texts if there are no profiles. Ties go to the first language by code point.
+    ``und`` with score 0 for a null or empty text, one without a letter (other numerals than digits are none either), and for all texts if there are no profiles. Ties go to the first language by code point.
     Only the text decides. All columns stay; of the same names, these two replace what was there.
     """
     langs = sorted(profiles)
@@ -116,9 +123,9 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
         places[i, np.searchsorted(grams, np.array(profiles[lang], np.int64).view(np.uint64))] = np.arange(len(profiles[lang]))
 
     def judge(text: str | None) -> tuple[str, float]:
-        if not langs or not text or not _LETTER.search(text):
+        mine = ranked(*profile(letters(text)), size) if langs and text else ()
+        if not len(mine):
             return UNKNOWN, 0.0
-        mine = ranked(*profile(letters(text)), size)
         at = np.searchsorted(grams, mine)
         at[(at == len(grams)) | (grams[np.minimum(at, len(grams) - 1)] != mine)] = len(grams)
         there = places[:, at]
@@ -132,14 +139,13 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
     place = names.index("text") if once else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in batches:
             found = [judge(t.as_py()) for t in batch.column(place)]
             yield pa.record_batch([*batch.columns[: len(names)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
     schema = StructType([docs.schema[c] for c in names]).add("lang_pred", StringType()).add("score", DoubleType())
-    return kept.mapInArrow(run, schema)
+    bounded_batches(docs.sparkSession)
+    return kept.mapInArrow(released(run), schema)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
