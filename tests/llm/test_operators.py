@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from linkloom.llm import op4_mixing, stages
+from linkloom.llm import op3_private, op4_mixing, op6_language, stages
 from linkloom.llm.licences import NOTICES, PHRASES
 from linkloom.llm.lyndon import lyndon_sort
 from linkloom.llm.op1_suffix_dedup import suffix_dedup
 from linkloom.llm.op2_licences import scan_licences
-from linkloom.llm.op3_private import entities, private_spans, sanitised
+from linkloom.llm.op3_private import cleared, entities, private_spans, sanitised
 from linkloom.llm.op5_minhash import near_duplicates
 from linkloom.llm.op6_language import identify, learn
 from linkloom.llm.op7_decontaminate import decontaminate, remove_contaminated
@@ -93,6 +93,29 @@ def test_private(spark, df, docs):
     assert not spans[100]
 
 
+def test_private_against_brute_force(spark, df, docs, monkeypatch):
+    draw = random.Random(3)
+    odd = "aZ9.@+-() _%é😀4111111111111111 10.0.0.1 +1 (234) 567-8901 x@y.zz \n,:"
+    more = docs + [(1000 + i, "".join(draw.choice(odd) for _ in range(draw.randrange(400)))) for i in range(200)]
+    more += [(2000, " ".join(f"a{i}@b.cc" for i in range(20000))), (2001, "1 " * 5000 + "10.1.2.3 " * 3000)]
+    both = spark.createDataFrame(more, "doc_id long, text string")
+    monkeypatch.setattr(op3_private, "table", lambda *_: both)
+    rows = op3_private.op3_private(spark, SF).collect()
+    same([tuple(r)[:6] for r in rows], brute.private(more))
+
+
+def test_secrets_are_spans(spark):
+    told = [(1, 'so token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" was'), (2, "API_KEY: abcdefgh12345678"), (3, "token = short1"), (4, "password: onlyletterswithoutanydigit"), (5, "a token of thanks")]
+    rows = {r["doc_id"]: r["spans"] for r in private_spans(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    assert {d: [dict(told)[d][s["start"] : s["end"]] for s in x] for d, x in rows.items()} == {1: ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"], 2: ["abcdefgh12345678"], 3: [], 4: [], 5: []}
+
+
+def test_nothing_of_overlapping_spans_is_left(spark):
+    text = "mail x@10.0.0.1.org now"
+    got = spark.createDataFrame([(text,)], "text string").select(cleared(F.col("text"), entities(F.col("text"))), sanitised(F.col("text"), entities(F.col("text")))).first()
+    assert got[0] == "mail" + " " * 15 + " now" and got[1] == "mail [email] now"
+
+
 def test_copies_hide_no_term(spark):
     told = [(i, f"write to Zorblatt at z0@q.org about thing{i}") for i in range(4)] + [(100 + i, f"plain words number {i}") for i in range(40)]
     told += [(200 + i, told[0][1]) for i in range(30)]
@@ -174,11 +197,48 @@ def test_language(spark):
     profiles = learn(d)
     got = identify(d, profiles).toPandas()
     assert (got["lang"] == got["lang_pred"]).mean() > 0.95 and got["score"].between(0, 1).all()
-    odd = spark.createDataFrame([(None, None), (1, ""), (2, "12 ... 34"), (3, "x")], "doc_id long, text string")
-    assert [r["lang_pred"] for r in identify(odd, profiles).orderBy("doc_id").collect()][:3] == ["und"] * 3
+    odd = spark.createDataFrame([(None, None), (1, ""), (2, "12 ... 34"), (3, "x"), (4, "½ ² Ⅷ"), (5, "²")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(odd, profiles).collect()}
+    assert {d for d, x in found.items() if x == ("und", 0.0)} == {None, 1, 2, 4, 5}
     assert {r["lang_pred"] for r in identify(odd, {}).collect()} == {"und"}
 
 
+def plain_language(text, profiles, size):
+    """Out-of-place distance by dictionaries."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    count = {}
+    for w in words:
+        w = f" {w} "
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                if (g := w[i : i + n]) != " ":
+                    count[g] = count.get(g, 0) + 1
+    code = lambda g: sum((0 if c == " " else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g)) + ((1 << 63) if len(g) == 2 else 0)
+    mine = sorted((-n, code(g)) for g, n in count.items())[:size]
+    if not mine:
+        return "und", 0.0
+    best = min((sum(abs(i - p.index(g)) if g in p else size for i, (_, g) in enumerate(mine)), lang) for lang, p in profiles.items())
+    return best[1], 1 - best[0] / (size * len(mine))
+
+
+def test_language_against_dictionaries(spark, df, docs):
+    profiles = learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    unsigned = {lang: [g % 2**64 for g in p] for lang, p in profiles.items()}
+    texts = [(i, t) for i, (_, t) in enumerate(docs) if t and len(t) < 2000][:60]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(spark.createDataFrame(texts, "doc_id long, text string"), profiles).collect()}
+    for i, t in texts:
+        lang, score = plain_language(t, unsigned, 400)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score)
+
+
+def test_counts_of_long_texts_add_up(monkeypatch):
+    x = op6_language.letters("The quick brown fox, naïve façade! " * 50)
+    whole = op6_language.profile(x)
+    for piece in (1, 2, 3, 7, 64, 1750):
+        monkeypatch.setattr(op6_language, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(op6_language.profile(x), whole, strict=True))
+
+
 def test_decontamination(spark, df, docs):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     want = brute.leaks(docs, BENCH)
