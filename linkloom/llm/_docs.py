@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Stands in for a null doc_id wherever ids are compared: a null id is never the smaller one.
 LAST_ID = 2**63 - 1
 
+#: Bytes of a group of documents, of a partition of groups, and what a row counts besides its text.
+GROUP_BYTES, PARTITION_BYTES, ROW_BYTES = 1 << 20, 16 << 20, 64
+
 #: Byte table: A-Z to lower case, ASCII letters, digits and all bytes over 0x7F stay, the rest becomes a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -31,18 +34,20 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def dealt(docs: DataFrame, per_group: int = 1024) -> tuple[DataFrame, int]:
-    """(grp, doc_id, text as bytes) with documents dealt by their id into groups of about ``per_group``.
+def dealt(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int, int]:
+    """(grp, doc_id, text as bytes), dealt into groups of about ``group_bytes``; the bytes of all texts; and the partitions that hold the groups.
 
-    A group is the unit that a Python worker holds at once. The deal depends on the id alone, so one
-    exchange by ``grp`` serves every later step that needs the texts again.
+    A group is the unit that a Python worker holds at once. The deal depends on id and text, so that rows without an id, or with the same one, do not
+    meet in one group. It is one exchange by ``grp``, of as many partitions as the texts need, which serves every later step that reads the texts again.
     """
-    groups = max(-(-docs.count() // per_group), 2 * shuffle_parts(docs.sparkSession))
-    return docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("binary").alias("text"),
-    ), groups
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows, held = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    held += ROW_BYTES * rows
+    least = shuffle_parts(docs.sparkSession)
+    partitions = max(least, -(-held // PARTITION_BYTES))
+    groups = max(2 * least, -(-held // group_bytes))
+    grp = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("grp")
+    return slim.select(grp, "doc_id", "text").repartition(partitions, "grp"), held, partitions
 
 
 def in_order(group: pa.Table) -> pa.Table:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm._docs import LAST_ID, dealt, id_array, in_order, joined, pack, shuffle_parts, table, unpack, words8
+from linkloom.llm._spark import bounded_batches, released
 from linkloom.llm.lyndon import lyndon_sort
 
 WIDTH, GRAM = 50, 20
@@ -31,8 +32,8 @@ WIDTH, GRAM = 50, 20
 POSITION = 25
 #: Each bucket is sorted in this many parts, by hash, so that the arrays of the sort stay in a processor's cache.
 PARTS = 16
-#: Documents of a group, which one worker holds at once.
-PER_GROUP = 512
+#: Bytes of text for which there is a bucket.
+BUCKET_BYTES = 4 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -102,8 +103,9 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
     counts as the largest. Documents shorter than ``width`` stay whole. Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts, _ = dealt(docs, PER_GROUP)
-    buckets = 2 * shuffle_parts(spark)
+    bounded_batches(spark)
+    parts, held, partitions = dealt(docs)
+    buckets = max(2 * shuffle_parts(spark), -(-held // BUCKET_BYTES))
 
     def anchors(group: pa.Table) -> pa.Table:
         data, offsets = joined(group.column("text"))
@@ -236,11 +238,11 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
             out.append((d, z - a, n, spans, hashlib.sha256(kept).hexdigest()))
         return rows(result, out)
 
-    met_by_group = parts.groupBy("grp").applyInArrow(anchors, BLOB_DDL).groupBy("bucket").applyInArrow(met, BLOB_DDL)
+    met_by_group = parts.groupBy("grp").applyInArrow(anchors, BLOB_DDL).repartition(partitions, "bucket").groupBy("bucket").applyInArrow(met, BLOB_DDL)
     sent = parts.groupBy("grp").cogroup(met_by_group.groupBy("grp")).applyInArrow(contexts, BLOB_DDL)
-    loads = sent.groupBy("bucket").applyInArrow(gathered, "bucket int, text binary, body binary")
+    loads = sent.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(gathered, "bucket int, text binary, body binary")
     ordered = loads.select("bucket", "text", lyndon_sort(spark, F.col("text")).alias("suffixes"), "body")
-    removed = ordered.mapInArrow(decided, "grp int, body binary")
+    removed = ordered.mapInArrow(released(decided), "grp int, body binary")
     return parts.groupBy("grp").cogroup(removed.groupBy("grp")).applyInArrow(cut, RESULT)
 
 

@@ -18,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm._docs import LAST_ID, LOWER_BYTES, dealt, id_array, pack, shuffle_parts, table, unpack
+from linkloom.llm._spark import bounded_batches
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Bytes of text whose lines' hashes make a shard.
+SHARD_BYTES = 16 << 20
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -107,8 +110,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     A null text is empty and has one empty line. A line stays in the largest doc_id that holds it, in all rows of that id; a null id
     counts as the largest. Rows that share a doc_id count as documents of their own. Other columns are not read; an empty table gives no rows.
     """
-    parts, _ = dealt(docs)
-    shards = 2 * shuffle_parts(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    parts, held, partitions = dealt(docs)
+    shards = max(2 * shuffle_parts(docs.sparkSession), -(-held // SHARD_BYTES))
 
     def sent(group: pa.Table) -> pa.Table:
         ids, texts = id_array(group.column("doc_id")).tolist(), group.column("text").to_pylist()
@@ -154,7 +158,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
             out.append((d, n, n - len(kept), hashlib.sha256(left).hexdigest(), left if texts else None))
         return as_table(RESULT, out)
 
-    told = parts.groupBy("grp").applyInArrow(sent, SENT_DDL).groupBy("shard").applyInArrow(probed, SENT_DDL)
+    told = parts.groupBy("grp").applyInArrow(sent, SENT_DDL).repartition(partitions, "shard").groupBy("shard").applyInArrow(probed, SENT_DDL)
     out = parts.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept binary")
     return out if texts else out.drop("kept")
 
