@@ -106,6 +106,8 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     grams, n = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.argsort(grams, kind="stable")
     grams, n = grams[order], n[order]
+    if not len(grams):
+        return grams, n
     first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
     return grams[first], np.add.reduceat(n, first)
 
