@@ -19,13 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm._docs import LAST_ID, LOWER_BYTES, table
-from linkloom.llm._spark import checkpointed, small
+from linkloom.llm._spark import bounded_batches, checkpointed, released, small
 
-SHINGLE, PERCENT = 5, 80
+SHINGLE, PERCENT = 4, 80
 #: 32 bands of 4 minima: a pair at a similarity of 0.8 shares none with a probability of 5e-8.
 BANDS, ROWS = 32, 4
 #: Of 128 one-bit minima, so many must agree before full sets are compared; at a similarity of 0.8, 115 do on average, and fewer than this with a probability of 7e-9.
 AGREE = 93
+#: Bytes of text whose words are hashed at once.
+PIECE = 1 << 20
+#: Members of a bucket that are held against one copy of their leader's set.
+PACK = 256
 #: Bits of the masks of a leader's shingles that a member lacks, and of its further ones. A bit stands for one shingle at least, so the bound holds at any length.
 MASK = 256
 
@@ -34,29 +38,78 @@ _A = (_draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).as
 _B = _draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word met so far, forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        x = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return x
+_T = _draw.integers(0, 2**64, 256, dtype=np.uint64)
+_P = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_P), -1, 2**64))
+_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of ``_P`` and of its inverse, modulo 2 ** 64."""
+    if len(_powers.get("up", ())) < n:
+        for name, x in (("up", _P), ("down", _INVERSE)):
+            _powers[name] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 16) - 1, x, np.uint64)])
+    return _powers["up"][:n], _powers["down"][:n]
+
+
+def piece_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word of a piece: a polynomial in random values of its bytes, as a difference of running sums."""
+    word = _WORD[data]
+    edges = np.flatnonzero(np.diff(np.r_[False, word, False]))
+    start, end = edges[::2], edges[1::2]
+    up, down = powers(len(data) + 1)
+    total = np.r_[np.uint64(0), np.cumsum(_T[data] * up[: len(data)])]
+    x = (total[end] - total[start]) * down[start]
+    x ^= x >> np.uint64(32)
+    return start, x * np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word. Long data goes in pieces that end between words; a word longer than a piece has a hash of its own kind, at any place the same."""
+    starts, found, lo = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    whole = np.frombuffer(data, np.uint8)
+    while lo < len(data):
+        hi = min(lo + PIECE, len(data))
+        if hi < len(data):
+            gaps = np.flatnonzero(~_WORD[whole[lo:hi]])
+            if not len(gaps):  # the word may have begun here, or be cut off by the end of the data
+                gap = np.flatnonzero(~_WORD[whole[hi:]])
+                hi = hi + int(gap[0]) if len(gap) else len(data)
+                starts.append(np.array([lo]))
+                found.append(np.array([int.from_bytes(hashlib.blake2b(data[lo:hi], digest_size=8).digest(), "little")], np.uint64))
+                lo = hi
+                continue
+            hi = lo + int(gaps[-1]) + 1
+        at, x = piece_hashes(whole[lo:hi])
+        starts.append(at + lo)
+        found.append(x)
+        lo = hi
+    return np.concatenate(starts), np.concatenate(found)
+
+
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """For each text the distinct hashes, in order, of all runs of ``size`` words; of the whole text if it has fewer words, none if it has none."""
+    start, w = word_hashes(b" ".join([*texts, b""]).translate(LOWER_BYTES))  # a gap after each word
+    ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.empty(0, np.int64)
+    cuts = np.r_[0, np.searchsorted(start, ends)]
+    h = run_hashes(w, size)
+    out = []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if hi - lo >= size:
+            out.append(np.unique(h[lo : hi - size + 1]))
+        else:
+            out.append(run_hashes(w[lo:hi], hi - lo) if hi > lo else np.empty(0, np.uint64))
+    return out
 
 
-def shingles(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
-    """Distinct hashes, in order, of all runs of ``size`` words; of the whole text if it has fewer words, none if it has none."""
-    words = text.translate(LOWER_BYTES).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.array([hashes[x] for x in words], np.uint64)
-    k = min(size, len(w))
-    n = len(w) - k + 1
+def run_hashes(w: np.ndarray, k: int) -> np.ndarray:
+    n = max(0, len(w) - k + 1)
     h = np.full(n, k, np.uint64)
     for i in range(k):
         h = (h ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return np.unique(h * np.uint64(0xBF58476D1CE4E5B9))
+    return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def minima(sets: np.ndarray) -> np.ndarray:
@@ -80,58 +133,65 @@ SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binar
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for whole in batches:
-            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
-                out: list[list] = [[] for _ in SIGNED]
-                for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    s = shingles(text.as_py() or b"", size, hashes)
-                    if len(s):
-                        m = minima(s)
-                        bits = np.packbits((m >> np.uint32(7) & np.uint32(1)).astype(np.uint8)).view(np.int64)
-                        row = (d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(bits[0]), int(bits[1]), mixed(m))
-                    else:
-                        row = (d, 0, None, 0, 0, None)
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, SIGNED.types, strict=True)], schema=SIGNED)
-
-    return docs.mapInArrow(run, "doc_id long, n long, same binary, b0 long, b1 long, bands array<long>")
+        for batch in batches:
+            out: list[list] = [[] for _ in SIGNED]
+            for d, s in zip(batch.column(0).to_pylist(), shingle_sets([x.as_py() or b"" for x in batch.column(1)], size), strict=True):
+                if len(s):
+                    m = minima(s)
+                    bits = np.packbits((m >> np.uint32(7) & np.uint32(1)).astype(np.uint8)).view(np.int64)
+                    row = (d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(bits[0]), int(bits[1]), mixed(m))
+                else:
+                    row = (d, 0, None, 0, 0, None)
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, SIGNED.types, strict=True)], schema=SIGNED)
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(released(run), "doc_id long, n long, same binary, b0 long, b1 long, bands array<long>")
+
+
+JUDGED = "a long, b long, link boolean, held long, more long, m0 long, m1 long, m2 long, m3 long, p0 long, p1 long, p2 long, p3 long"
 
 
 def judged(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) by their full sets: whether they link, n of a, how many of b's shingles a lacks, masks of a's that b lacks (m0 to m3) and of b's that a lacks (p0 to p3)."""
+    """The pairs (a, b) by their full sets: whether they link, n of a, how many of b's shingles a lacks, masks of a's that b lacks (m0 to m3) and of b's that a lacks (p0 to p3).
+
+    The pairs of one a go in packs of about ``PACK``; a pack is a's set once, then those of its bs, so that no a is a hot key and none is sent with each pair.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for whole in batches:
-            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
-                found = [shingles(x.as_py() or b"", size, hashes).tobytes() for x in batch.column(1)]
-                yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
+        for batch in batches:
+            found = [s.tobytes() for s in shingle_sets([x.as_py() or b"" for x in batch.column(1)], size)]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.empty(0, np.uint64)
         for batch in batches:
-            link, held, more, masks = [], [], [], np.zeros((2, batch.num_rows, MASK), np.uint8)
-            for row, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                lacks, further = x[~np.isin(x, y, assume_unique=True)], y[~np.isin(y, x, assume_unique=True)]
-                masks[0, row, lacks % np.uint64(MASK)] = 1
-                masks[1, row, further % np.uint64(MASK)] = 1
+            out, masks = [], np.zeros((2, batch.num_rows, MASK), np.uint8)
+            for a, b, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                of = np.frombuffer(of.as_buffer(), np.uint64)
+                if b is None:
+                    x = of.copy()  # the batch may end before the pack does
+                    continue
+                lacks, further = x[~np.isin(x, of, assume_unique=True)], of[~np.isin(of, x, assume_unique=True)]
+                masks[0, len(out), lacks % np.uint64(MASK)] = 1
+                masks[1, len(out), further % np.uint64(MASK)] = 1
                 common = len(x) - len(lacks)
-                link.append(100 * common >= percent * (len(x) + len(y) - common))
-                held.append(len(x))
-                more.append(len(further))
-            words = np.packbits(masks, axis=2).view(np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(link, pa.bool_()), pa.array(held, pa.int64()), pa.array(more, pa.int64()), *(pa.array(words[k, :, i].copy()) for k in range(2) for i in range(4))]
+                out.append((a, b, 100 * common >= percent * (len(x) + len(of) - common), len(x), len(further)))
+            words = np.packbits(masks[:, : len(out)], axis=2).view(np.int64)
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)]
+            columns += [pa.array(words[k, :, i].copy()) for k in range(2) for i in range(4)]
             yield pa.record_batch(columns, names=["a", "b", "link", "held", "more", "m0", "m1", "m2", "m3", "p0", "p1", "p2", "p3"])
 
+    bounded_batches(docs.sparkSession)
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    have = docs.withColumnRenamed("doc_id", "id").join(small(wanted, wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles binary")
-    both = (
-        pairs.join(have.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        .join(have.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-    )
-    return both.mapInArrow(compare, "a long, b long, link boolean, held long, more long, m0 long, m1 long, m2 long, m3 long, p0 long, p1 long, p2 long, p3 long")
+    have = docs.withColumnRenamed("doc_id", "id").join(small(wanted, wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(released(sets), "id long, shingles binary")
+    packs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))
+    packed = pairs.join(packs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("packs")).alias("pack"), "packs")
+    members = packed.join(have.withColumnRenamed("id", "b"), "b").select("a", "b", "pack", "shingles")
+    heads = packs.join(have.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1)).alias("pack"), "shingles")
+    both = members.unionByName(heads).repartition("a", "pack").sortWithinPartitions("a", "pack", F.asc_nulls_first("b"))
+    return both.select("a", "b", "shingles").mapInArrow(released(compare), JUDGED)
 
 
 def components(edges: DataFrame) -> DataFrame:
