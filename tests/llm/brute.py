@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+LAST = 2**63 - 1  # stands for a null doc_id
 
 def repeats(docs, width=50):
     first = {}

@@ -1,6 +1,7 @@
 """Each operator against a plain version, on documents with nulls, empty texts, ties, repeated rows and clashing columns."""
 
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
+import corpus_pipeline
 
-from linkloom.llm import op3_private, op4_mixing, op6_language, stages
+from linkloom.llm import op3_private, op4_mixing, op5_minhash, op6_language, op8_sharding, stages
 from linkloom.llm.licences import NOTICES, PHRASES
 from linkloom.llm.lyndon import lyndon_sort
 from linkloom.llm.op1_suffix_dedup import suffix_dedup
@@ -158,9 +160,31 @@ def test_mixing_lands_each_source_alike(spark):
 
 
 def test_near_duplicates(df, docs):
+    """With null ids, which count as the largest, and rows that share an id: each row is a document of its own."""
+    known = [(brute.LAST if d is None else d, t) for d, t in docs]
+    want = [(None if d == brute.LAST else d, n, None if c == brute.LAST else c) for d, n, c, _ in brute.near(known)]
+    same([tuple(r)[:3] for r in near_duplicates(df).collect()], want)
     rows = [d for d in docs if d[0] is not None and d[0] != 230]
     same(near_duplicates(df.filter("doc_id is not null and doc_id <> 230"), 4).collect(), brute.near(rows))
-    assert near_duplicates(df).count() == len(docs)
+
+
+def test_packs_of_a_leader(spark, monkeypatch):
+    monkeypatch.setattr(op5_minhash, "PACK", 3)
+    base = [f"v{i}" for i in range(80)]
+    rows = [(i, " ".join(f"x{i}" if k in (i, 79 - i) else w for k, w in enumerate(base))) for i in range(30)]
+    same(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute.near(rows))
+
+
+def test_words_are_hashed_alike_at_any_place(monkeypatch):
+    draw = random.Random(1)
+    texts = [bytes(draw.choice(b"ab \t\nAB") for _ in range(draw.randrange(60))) for _ in range(200)] + [b"", b" ", b"x" * 500, b"a b c", b"A B\x0bc", b"x" * 700, b"y " + b"x" * 700]
+    whole = [x.tolist() for x in op5_minhash.shingle_sets(texts, 2)]
+    assert [x.tolist() for t in texts for x in op5_minhash.shingle_sets([t], 2)] == whole
+    words = [t.lower().split() for t in texts]
+    assert [len(x) for x in whole] == [len({tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))}) if w else 0 for w in words]
+    monkeypatch.setattr(op5_minhash, "PIECE", 700)
+    a, b, *c = op5_minhash.shingle_sets([b"x" * 700, b"y " + b"x" * 700, b"x" * 700], 1)
+    assert a.tolist() == c[0].tolist() and set(a.tolist()) < set(b.tolist())
 
 
 def test_null_and_repeated_ids_lose_no_document(spark):
@@ -261,6 +285,28 @@ def test_sharding(df, docs):
     assert all(len(x) == 1 for x in where.values())
 
 
+def connected(**tables):
+    con = duckdb.connect()
+    for name, (rows, types) in tables.items():
+        con.sql(f"CREATE TABLE {name} ({types})")
+        con.executemany(f"INSERT INTO {name} VALUES ({','.join('?' * len(rows[0]))})", rows)
+    return con
+
+
+def test_sharding_against_sql(df, docs):
+    con = connected(documents=(docs, "doc_id BIGINT, text VARCHAR"))
+    want = con.sql(op8_sharding.ORACLE)
+    assert want.columns == lpt_shards(df).columns
+    same(lpt_shards(df).collect(), want.fetchall())
+
+
+def test_plan_in_parts(df, monkeypatch):
+    whole = lpt_shards(df).collect()
+    monkeypatch.setattr(op8_sharding, "HELD", 7)
+    monkeypatch.setattr("linkloom.llm._spark.BROADCAST_ROWS", 0)
+    same(lpt_shards(df).collect(), whole)
+
+
 def test_levels_are_the_heap(monkeypatch):
     draw = random.Random(7)
     for _ in range(50):
@@ -295,6 +341,19 @@ def test_hamming(spark):
     same(hamming_top_k(e).collect(), con.sql(ORACLE).fetchall())
 
 
+def test_hamming_of_any_length(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = [(int(i), draw.normal(size=int(draw.choice([100, 130, 7, 64]))).astype(float).tolist()) for i in range(1, 400)] + [(500 + i, [1.0] * 130) for i in range(90)]
+    rows += [(920, []), (940, [None, 1.0]), (501, [1.0] * 130), (7, [0.5] * 130), (7, [0.5] * 130)]
+    con = connected(embeddings=(rows, "vec_id BIGINT, embedding FLOAT[]"))
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = con.sql(ORACLE).fetchall()
+    same(hamming_top_k(e).collect(), want)
+    monkeypatch.setattr("linkloom.llm.op10_hamming_topk.STEP", 50)
+    monkeypatch.setattr("linkloom.llm.op10_hamming_topk.BLOCK", 60)
+    same(hamming_top_k(e).collect(), want)
+
+
 def test_empty_tables(spark, df):
     none = df.limit(0)
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
@@ -316,9 +375,46 @@ def test_language_stage_rejects_by_profiles(spark):
 
 def test_stages(spark, df):
     out = stages.language(spark, df, SF)
-    assert out.columns == list(stages.COLUMNS) and out.filter("text is null").isEmpty()
+    assert out.columns == list(stages.COLUMNS) and out.filter("text is null").isEmpty() and out.filter("lang is null").isEmpty()
     out = stages.near_dedup(spark, out, SF)
     assert out.groupBy("doc_id").count().filter("count > 1").isEmpty()
     out = stages.mixing(spark, stages.decontamination(spark, out, SF), SF)
     assert out.columns == list(stages.COLUMNS)
     assert stages.sharding(spark, out, SF).count() == out.count() > 0
+
+
+def test_stages_against_brute_force(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").withColumn("n_chars", F.col("n_chars").cast("long"))
+    draw = random.Random(11)
+    base = [f"word{draw.randrange(300)}" for _ in range(80)]
+    more = [(5000 + i, " ".join(w if draw.random() > 0.01 else "other" for w in base), None, "src1", 1) for i in range(12)]
+    d = d.select(*stages.COLUMNS).unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    left = stages.near_dedup(spark, d, SF)
+    want = {i for i, _, _, kept in brute.near(rows) if kept}
+    assert {r["doc_id"] for r in left.collect()} == want and left.count() == len(want)
+    bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(r["doc_id"], r["text"]) for r in left.collect()]
+    clean = stages.decontamination(spark, left, SF)
+    assert {r["doc_id"] for r in clean.collect()} == {x[0] for x in brute.leaks(rows, bench) if not x[5]}
+    mixed = stages.mixing(spark, clean, SF).cache()
+    names = sorted({r["source"] for r in clean.collect()})
+    size = lambda of, s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in of if r["source"] == s)
+    before, after = clean.collect(), mixed.collect()
+    for s, aim in zip(names, op4_mixing.targets([size(before, s) for s in names]), strict=True):
+        assert abs(size(after, s) - aim) < 30
+    assert mixed.groupBy("doc_id").count().filter("count > 3").isEmpty()
+    got = stages.sharding(spark, mixed, SF).collect()
+    same([tuple(r)[:5] for r in got], after)
+    con = connected(documents=([(r["doc_id"], r["text"]) for r in after], "doc_id BIGINT, text VARCHAR"))
+    same([(r["doc_id"], *tuple(r)[5:]) for r in got], con.sql(op8_sharding.ORACLE).fetchall())
+
+
+def test_stages_of_empty_and_odd_tables(spark, df):
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "a tie", None, "s", 5), (2, "a tie", None, "s", 5), (3, "a tie", "xx", None, 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.withColumn("key", F.lit(1)).withColumn("kept", F.lit("x")).withColumn("slot", F.lit(2)).withColumn("score", F.lit(0))
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, df.limit(0), SF)
+        assert none.count() == 0 and none.columns[:5] == list(stages.COLUMNS)
+        out = stage(spark, odd, SF)
+        assert out.columns[:5] == list(stages.COLUMNS) and out.count() <= 3 * odd.count()
