@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm._docs import table, words_of
+from linkloom.llm._spark import bounded_batches, released
 from linkloom.llm.licences import NOTICES, PHRASES
 
 #: Words of a long match; words of text that a chain may skip; share of a notice that earns its label.
@@ -77,7 +78,8 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES):
+    def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, share: float = SHARE):
+        self.share = share
         split = lambda text: words_of(text.encode())
         self.labels = [*phrases.values(), *notices]
         self.phrases = len(phrases)
@@ -134,8 +136,11 @@ class Scanner:
                     c[1], c[2] = start + size, there + size
                 else:
                     open_.append([start, start + size, there + size, size])
-            best = max(done + open_, key=lambda c: c[3])
-            out.append((self.labels[t], best[0], best[1] - 1, best[3] / self.sizes[t]))
+            taken: list[list[int]] = []
+            for c in sorted(done + open_, key=lambda c: (-c[3], c[0])):  # the best chain, and the others that are whole enough, unless they overlap a better one
+                if (not taken or c[3] >= self.share * self.sizes[t]) and all(c[1] <= x[0] or x[1] <= c[0] for x in taken):
+                    taken.append(c)
+            out += [(self.labels[t], c[0], c[1] - 1, c[3] / self.sizes[t]) for c in taken]
         return sorted(out)
 
 
@@ -147,13 +152,15 @@ DDL = "doc_id long, n_words long, n_base long, first_word long, last_word long,
 def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, share: float = SHARE) -> DataFrame:
     """One row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    n_base counts the places of phrases; first_word and last_word are their smallest and largest start. spans are the best chain of each notice; one
-    with at least ``share`` of the notice adds its label. score is 1 with a phrase, else the best share (0 to 1).
+    n_base counts the places of phrases; first_word and last_word are their smallest and largest start. spans are the best chain of each notice and
+    all others with at least ``share`` of it, as often as it stands in the text; one with that share adds its label. score is 1 with a phrase, else the best share (0 to 1).
     A null text is empty and has no words. Repeated rows are scanned each. Other columns are not read; an empty table gives no rows.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(phrases, notices)
+        scanner = Scanner(phrases, notices, share)
         for batch in batches:
             out = []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -168,7 +175,7 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
                 ))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(RESULT), RESULT.types, strict=True)], schema=RESULT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(released(run), DDL)
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
