@@ -140,10 +140,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     An empty table gives no rows.
     """
     spark = docs.sparkSession
-    slim = checkpointed(docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("name"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ))
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("own"),
+    )
+    # Rows without an id, and equal ones, are dealt by text and by number, so that they do not meet in one block.
+    counted = rows.groupBy("doc_id", "name", "size", "own").agg(F.count(F.lit(1)).alias("rows"))
+    slim = checkpointed(counted.select("doc_id", "name", "size", "own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row")))
     # One row a source comes to the driver, never more.
     found = slim.groupBy("name").agg(F.sum("size").alias("size"), F.count(F.when(F.col("size") > 0, 1)).alias("docs")).collect()
     found.sort(key=lambda r: (r["name"] is None, r["name"] or ""))
@@ -163,9 +166,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         last[i] = len(list(levels(r["docs"]))) - 1
         plan.append((r["name"], i, r["size"], aim, whole, max(0.0, rate - whole), max(1, -(-r["docs"] // BLOCK)), last[i], cuts.get(r["name"])))
     plan = small(from_rows(spark, plan, "name string, source int, source_size long, target double, whole int, part double, blocks long, last int, cut long").alias("p"), len(plan))
+    other = F.when(F.col("d.doc_id").isNull(), F.col("d.own")), F.when(F.col("d.row") > 1, F.col("d.row"))
     due = slim.alias("d").join(plan, F.expr("d.name <=> p.name")).select(
         "d.doc_id", "d.size", "p.source", "p.last", F.when(F.col("d.size") > 0, F.col("part")).otherwise(0.0).alias("prob"),
-        F.pmod(F.xxhash64("d.doc_id", F.lit(SEED)), F.col("blocks")).alias("block"), F.coalesce(F.col("d.size") > F.col("p.cut"), F.lit(False)).alias("parked"),
+        F.pmod(F.xxhash64("d.doc_id", F.lit(SEED), *other), F.col("blocks")).alias("block"), F.coalesce(F.col("d.size") > F.col("p.cut"), F.lit(False)).alias("parked"),
     )
     shares = plan.select("source", "source_size", "target", "whole")
     names = ["doc_id", "size", "source", "block", "prob"]
