@@ -186,8 +186,9 @@ def judged(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     bounded_batches(docs.sparkSession)
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     have = docs.withColumnRenamed("doc_id", "id").join(small(wanted, wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(released(sets), "id long, shingles binary")
-    packs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))
-    packed = pairs.join(packs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("packs")).alias("pack"), "packs")
+    packs = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs")))
+    many = packs.filter("packs > 1")  # fewer than the pairs by a factor of PACK at least
+    packed = pairs.join(small(many, many.count()), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("packs", F.lit(1))).alias("pack"))
     members = packed.join(have.withColumnRenamed("id", "b"), "b").select("a", "b", "pack", "shingles")
     heads = packs.join(have.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1)).alias("pack"), "shingles")
     both = members.unionByName(heads).repartition("a", "pack").sortWithinPartitions("a", "pack", F.asc_nulls_first("b"))
@@ -274,8 +275,8 @@ def grouped(docs: DataFrame, clashes: int, shingle: int = SHINGLE, percent: int
         member.filter("stray").alias("s").join(member.alias("m"), (F.col("s.band") == F.col("m.band")) & (F.col("s.component") != F.col("m.component")) & (~F.col("m.stray") | (F.col("s.id") < F.col("m.id"))) & possible & (agree >= AGREE))
         .select(F.col("s.id").alias("a"), F.col("m.id").alias("b")).distinct()
     )
-    more = judged(docs, checkpointed(rest), shingle, percent).filter("link").select("a", "b")
-    found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    more = checkpointed(judged(docs, checkpointed(rest), shingle, percent).filter("link").select("a", "b"))
+    found = first if more.isEmpty() else components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     placed = nodes.select("same", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     out = slim.select(F.col("doc_id").alias("key"), "n", "same").join(placed, "same", "left").withColumn("component", F.coalesce("component", "key"))
     if names is None:
