@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 import corpus_pipeline
 
-from linkloom.llm import op3_private, op4_mixing, op5_minhash, op6_language, op8_sharding, stages
+from linkloom.llm import op3_private, op4_mixing, op5_minhash, op6_language, op7_decontaminate, op8_sharding, stages
 from linkloom.llm.licences import NOTICES, PHRASES
 from linkloom.llm.lyndon import lyndon_sort
 from linkloom.llm.op1_suffix_dedup import suffix_dedup
@@ -83,6 +83,14 @@ def test_licences(df, docs):
     assert by[211]["labels"] == "bsd" and by[211]["score"] == 1.0 and by[3]["score"] == 0.0
 
 
+def test_each_place_of_a_notice(spark):
+    words = NOTICES["bsd"].split()
+    text = f"one {' '.join(words)} two words {' '.join(words[: len(words) * 4 // 5])} three {' '.join(f'x{i}' for i in range(40))} {' '.join(words[:6])}"
+    row = scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = [(s["first_word"], round(s["share"], 1)) for s in row["spans"] if s["label"] == "bsd"]
+    assert spans[0] == (1, 1.0) and len(spans) == 2 and spans[1][1] == 0.8 and row["labels"] == "bsd"
+
+
 def test_private(spark, df, docs):
     counts = {r["doc_id"]: r for r in private_spans(df).collect() if r["doc_id"] is not None}
     assert [(s["kind"], s["start"]) for s in counts[220]["base"]] == [("email", 5), ("email", 10), ("ip", 17), ("card", 29), ("phone", 49)]
@@ -159,6 +167,20 @@ def test_mixing_lands_each_source_alike(spark):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 30
 
 
+def test_mixing_deals_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(op4_mixing, "BLOCK", 64)
+    seen = []
+    fly = op4_mixing.flown
+    monkeypatch.setattr(op4_mixing, "flown", lambda df, *a: (seen.append(df.groupBy("source", "block").count().agg(F.max("count")).first()[0]), fly(df, *a))[1])
+    rows = [(None, f"w{i % 3} " * (5 + i % 7), "a") for i in range(900)] + [(7, "same text", "a")] * 300 + [(10**6 + i, "b " * 50, "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op4_mixing.mix(df).collect()
+    assert len(got) == len(rows) and max(seen) < 150
+    same(got, op4_mixing.mix(df.repartition(7)).collect())
+    for s in {r["target"] for r in got}:
+        assert abs(sum(r["taken"] for r in got if r["target"] == s) - s) < 30
+
+
 def test_near_duplicates(df, docs):
     """With null ids, which count as the largest, and rows that share an id: each row is a document of its own."""
     known = [(brute.LAST if d is None else d, t) for d, t in docs]
@@ -271,6 +293,20 @@ def test_decontamination(spark, df, docs):
     assert decontaminate(df, bench.limit(0)).filter("contaminated").isEmpty()
 
 
+def test_decontamination_in_rounds(spark, df, docs, monkeypatch):
+    bench = spark.createDataFrame(BENCH + [(9, "the of"), (10, "the of"), (11, "of the of the")], "item_id long, text string")
+    whole = {r["doc_id"]: r for r in decontaminate(df, bench).collect()}
+    left = remove_contaminated(df, bench).count()
+    for name, value in (("BLOCK_BYTES", 40), ("ROUND", 1), ("SHARD_BYTES", 3000)):
+        monkeypatch.setattr(op7_decontaminate, name, value)
+    rows = decontaminate(df, bench).collect()
+    same([tuple(r)[:6] for r in rows], brute.leaks(docs, [tuple(r) for r in bench.collect()]))
+    place = lambda r: sorted(map(tuple, r["matches"]))
+    assert place(whole[200]) == place({r["doc_id"]: r for r in rows}[200]) != []
+    same([tuple(r) for r in decontaminate(df, bench, places=False).collect()], [tuple(r)[:6] for r in rows])
+    assert remove_contaminated(df, bench).count() == left < len(docs)
+
+
 def test_sharding(df, docs):
     rows = lpt_shards(df).collect()
     assert len(rows) == len(docs)
