@@ -1,4 +1,4 @@
-"""The queries of this subpackage, and SQL for those that SQL can express."""
+"""The queries of this subpackage, and SQL for those that SQL can express: not for chained matches, flights and profiles (op2, op4, op6), which tests hold against plain versions."""
 
 from __future__ import annotations
 
@@ -18,6 +18,4 @@ MODULES = {
 }
 QUERIES = {name: getattr(importlib.import_module(f"linkloom.llm.{module}"), name) for name, module in MODULES.items()}
 
-from linkloom.llm.op10_hamming_topk import ORACLE as HAMMING  # noqa: E402
-
-ORACLE_SQL: dict[str, str] = {"op10_hamming_topk": HAMMING}
+from linkloom.llm.oracles import ORACLE_SQL  # noqa: E402, F401

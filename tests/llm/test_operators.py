@@ -1,5 +1,6 @@
 """Each operator against a plain version, on documents with nulls, empty texts, ties, repeated rows and clashing columns."""
 
+import importlib
 import random
 import re
 import sys
@@ -15,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 import corpus_pipeline
 
-from linkloom.llm import op3_private, op4_mixing, op5_minhash, op6_language, op7_decontaminate, op8_sharding, stages
+from linkloom.llm import op3_private, op4_mixing, op5_minhash, op6_language, op7_decontaminate, op8_sharding, queries, stages
 from linkloom.llm.licences import NOTICES, PHRASES
 from linkloom.llm.lyndon import lyndon_sort
 from linkloom.llm.op1_suffix_dedup import suffix_dedup
@@ -27,6 +28,7 @@ from linkloom.llm.op7_decontaminate import decontaminate, remove_contaminated
 from linkloom.llm.op8_sharding import assign, lpt_shards
 from linkloom.llm.op9_line_dedup import LineIndex, PerfectHash, line_dedup
 from linkloom.llm.op10_hamming_topk import ORACLE, hamming_top_k
+from linkloom.llm.oracles import ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, grp int, kept boolean, bucket int, size long"
@@ -409,6 +411,29 @@ def test_language_stage_rejects_by_profiles(spark):
     assert stages.language(spark, bare, SF).count() == d.count() + 5
 
 
+def with_sql(spark, monkeypatch, name, docs, bench=BENCH):
+    """The rows of a query and of its SQL over small tables."""
+    module = importlib.import_module(f"linkloom.llm.{queries.MODULES[name]}")
+    frames = {"documents": spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "benchmark": spark.createDataFrame(bench, "item_id long, text string")}
+    monkeypatch.setattr(module, "table", lambda _, __, of: frames[of])
+    con = connected(documents=(docs, "doc_id BIGINT, text VARCHAR"), benchmark=(bench, "item_id BIGINT, text VARCHAR"))
+    want = con.sql(ORACLE_SQL[name])
+    return queries.QUERIES[name](spark, SF).select(*want.columns).collect(), want.fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"op10_hamming_topk", "op3_private"}))
+def test_queries_against_sql(spark, docs, monkeypatch, name):
+    same(*with_sql(spark, monkeypatch, name, docs))
+
+
+def test_terms_against_sql(spark, docs, monkeypatch):
+    told = [(3000 + i, f"write to Zorblatt at z{i % 2}@q.org about thing{i}, token: abcdef0123456789x") for i in range(8)] + [(4000, "Zorblatt alone, zorblatts not"), (4001, "ZORBLATT é Zorblatt")]
+    told = [(d, t.replace("Zorblatt", "Quimby") if "z1@" in t else t) for d, t in told]
+    got, want = with_sql(spark, monkeypatch, "op3_private", docs + told + told[:3])
+    same(got, want)
+    assert any("term:" in r["spans"] for r in got) and any("secret:" in r["spans"] for r in got)
+
+
 def test_stages(spark, df):
     out = stages.language(spark, df, SF)
     assert out.columns == list(stages.COLUMNS) and out.filter("text is null").isEmpty() and out.filter("lang is null").isEmpty()
