@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -66,6 +67,12 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return held
 
 
+def forget(spark: SparkSession) -> None:
+    """Collects garbage on the driver, so that Spark removes the shuffle files of what has been checkpointed and is not referred to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     for pool in {pa.default_memory_pool().backend_name: pa.default_memory_pool(), "system": pa.system_memory_pool()}.values():
         pool.release_unused()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm._docs import table
-from linkloom.llm._spark import checkpointed, small
+from linkloom.llm._spark import checkpointed, forget, small
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that a failed attempt is not repeated from within the same run of characters and no group recurses.
@@ -28,7 +28,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: The value that is assigned to the name of a secret; it has to be long and to have a digit.
 SECRET = "secret"
 NAMES = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?"
-PATTERNS[SECRET] = rf"(?i)(?<={NAMES}[\"']?\s{{0,4}}[:=]\s{{0,4}}[\"']?)[A-Za-z0-9+/_=-]{{16,}}+"
+PATTERNS[SECRET] = rf"(?i){NAMES}[\"']?\s{{0,4}}[:=]\s{{0,4}}[\"']?([A-Za-z0-9+/_=-]{{16,}}+)"
 NEEDS[SECRET] = None
 #: Few texts without a secret have this, and it is found at once.
 ASSIGNED = r"[:=]\s{0,4}[\"']?[A-Za-z0-9+/_=-]{16}"
@@ -108,7 +108,11 @@ def entities(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
         first = text.rlike(ASSIGNED if kind == SECRET else PATTERNS[kind].replace(r"\G|", ""))
         if NEEDS[kind]:
             first = text.contains(NEEDS[kind]) & first
-        spans = F.filter(located(text, PATTERNS[kind]), lambda s: valid(kind, s["value"]))
+        spans = located(text, PATTERNS[kind])
+        if kind == SECRET:  # the value alone, at the end of what matched
+            value = lambda s: F.regexp_extract(s["value"], PATTERNS[SECRET], 1)
+            spans = F.transform(spans, lambda s: F.struct((s["end"] - F.length(value(s))).alias("start"), s["end"].alias("end"), value(s).alias("value")))
+        spans = F.filter(spans, lambda s: valid(kind, s["value"]))
         spans = F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
         return F.when(first, spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
 
@@ -177,6 +181,7 @@ def private_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE)
     docs = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), "text", entities(F.col("text"), (*KINDS, SECRET)).alias("found"))
     named = F.array_distinct(F.transform("found", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
     texts = checkpointed(docs.select("same", named.alias("entities"), words(cleared(F.col("text"), F.col("found"))).alias("words")).dropDuplicates(["same"]))
+    forget(docs.sparkSession)
     told = disclosing(texts, support, share)
     all_ = F.transform("found", lambda s: s.dropFields("value"))
     base = F.filter(all_, lambda s: s["kind"] != SECRET)

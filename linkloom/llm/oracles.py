@@ -65,7 +65,7 @@ KINDS = {
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?["'']?\s{0,4}[:=]\s{0,4}["'']?[A-Za-z0-9+/_=-]{16,}""",
+    "secret": r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?["'']?\s{0,4}[:=]\s{0,4}["'']?([A-Za-z0-9+/_=-]{16,})""",
 }
 TERM = r"[\p{L}\p{M}\p{N}]+"
 _PLACED = "SELECT {keep}, {kind} AS kind, unnest(range(len(hits))) AS i, hits, gaps FROM (SELECT {keep}, regexp_extract_all({text}, '{pattern}') AS hits, regexp_split_to_array({text}, '{pattern}') AS gaps FROM {source}) x"
@@ -84,7 +84,7 @@ WITH
 doc AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS same FROM documents),
 texts AS (SELECT same, any_value(text) AS text FROM doc GROUP BY same),
 raw AS ({_ALL}),
-trimmed AS (SELECT same, kind, CASE WHEN kind = 'secret' THEN regexp_extract(value, '[A-Za-z0-9+/_=-]{{16,}}$') ELSE value END AS value, a, len(value) AS whole FROM raw),
+trimmed AS (SELECT same, kind, CASE WHEN kind = 'secret' THEN regexp_extract(value, '{KINDS['secret']}', 1) ELSE value END AS value, a, len(value) AS whole FROM raw),
 spot AS (SELECT same, kind, value, a + whole - len(value) AS a, a + whole AS z, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM trimmed),
 found AS (SELECT same, kind, value, a, z FROM spot WHERE CASE kind
   WHEN 'email' THEN true

@@ -117,9 +117,9 @@ def test_private_against_brute_force(spark, df, docs, monkeypatch):
 
 
 def test_secrets_are_spans(spark):
-    told = [(1, 'so token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" was'), (2, "API_KEY: abcdefgh12345678"), (3, "token = short1"), (4, "password: onlyletterswithoutanydigit"), (5, "a token of thanks")]
+    told = [(1, 'so token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" was'), (2, "API_KEY: abcdefgh12345678"), (3, "token = short1"), (4, "password: onlyletterswithoutanydigit"), (5, "a token of thanks"), (6, "x API-Key=AAAA1111BBBB2222=")]
     rows = {r["doc_id"]: r["spans"] for r in private_spans(spark.createDataFrame(told, "doc_id long, text string")).collect()}
-    assert {d: [dict(told)[d][s["start"] : s["end"]] for s in x] for d, x in rows.items()} == {1: ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"], 2: ["abcdefgh12345678"], 3: [], 4: [], 5: []}
+    assert {d: [dict(told)[d][s["start"] : s["end"]] for s in x] for d, x in rows.items()} == {1: ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"], 2: ["abcdefgh12345678"], 3: [], 4: [], 5: [], 6: ["AAAA1111BBBB2222="]}
 
 
 def test_nothing_of_overlapping_spans_is_left(spark):
@@ -427,7 +427,7 @@ def test_queries_against_sql(spark, docs, monkeypatch, name):
 
 
 def test_terms_against_sql(spark, docs, monkeypatch):
-    told = [(3000 + i, f"write to Zorblatt at z{i % 2}@q.org about thing{i}, token: abcdef0123456789x") for i in range(8)] + [(4000, "Zorblatt alone, zorblatts not"), (4001, "ZORBLATT é Zorblatt")]
+    told = [(3000 + i, f"write to Zorblatt at z{i % 2}@q.org about thing{i}, token: abcdef0123456789x") for i in range(8)] + [(4000, "Zorblatt alone, zorblatts not"), (4001, "ZORBLATT é Zorblatt"), (4002, "token=abcdef0123456789x and Secret : 'ABCDEFGHIJKLMNOP1'")]
     told = [(d, t.replace("Zorblatt", "Quimby") if "z1@" in t else t) for d, t in told]
     got, want = with_sql(spark, monkeypatch, "op3_private", docs + told + told[:3])
     same(got, want)
