@@ -160,15 +160,14 @@ def disclosing(texts: DataFrame, support: int, share: float) -> DataFrame | None
     total, most = kept.agg(F.count(F.lit(1)), F.max("c_e")).first()
     if not total:
         return None
-    held = checkpointed(holds.join(small(kept, total), "entity"))
     # c is at most c_e, so a term with a larger c_t than this can't disclose. No pair that counts is lost by it.
     bound = lambda c_e: n * F.pow(c_e / n, F.lit(share)) * (1 + 1e-9)
-    each = texts.filter("words <> ''").select("same", F.explode(F.split("words", " ")).alias("term"))
-    # Counted on the map side before anything is shuffled.
+    each = texts.filter("words <> ''").select(F.explode(F.split("words", " ")).alias("term"))
+    # Both are counted on the map side before anything is shuffled, and no text is.
     seen = each.groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).filter((F.col("c_t") >= support) & (F.col("c_t") <= bound(F.lit(most))))
-    there = texts.join(held.select("same").distinct(), "same", "left_semi").filter("words <> ''").select("same", F.explode(F.split("words", " ")).alias("term"))
-    pairs = there.join(seen, "term").join(held, "same").filter(F.col("c_t") <= bound(F.col("c_e")))
-    found = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"), F.first("c_e").alias("c_e"), F.first("c_t").alias("c_t")).filter(F.col("c") >= support)
+    there = texts.filter((F.size("entities") > 0) & (F.col("words") != "")).select("words", F.explode("entities").alias("entity")).join(small(kept, total), "entity")
+    pairs = there.select("entity", "c_e", F.explode(F.split("words", " ")).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"), F.first("c_e").alias("c_e")).filter(F.col("c") >= support)
+    found = pairs.join(seen, "term").filter(F.col("c_t") <= bound(F.col("c_e")))
     return found.filter(F.log(F.col("c") * n / (F.col("c_e") * F.col("c_t"))) >= share * F.log(F.lit(n) / F.col("c_e"))).select("term").distinct()
 
 
