@@ -39,12 +39,16 @@ TERM = r"[\p{L}\p{M}\p{N}]++"
 SUPPORT, SHARE = 3, 0.9
 
 
-def running(values: Column, op, block: int = 256) -> Column:
-    """For each of an array of integers, ``op`` over those before it, from 0. Blocks are folded first, so no step goes over all that lies before."""
+def running(values: Column, op) -> Column:
+    """For each of an array of integers, ``op`` over those before it, from 0. Blocks are folded first, so no step goes over all that lies before.
+
+    Blocks of the cube root of twice the length make the steps fewest: half a block for each value, and half the blocks for each block.
+    """
     fold = lambda xs: F.aggregate(xs, F.lit(0), op)
     once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  x is made once, not for each use
-    starts = lambda xs: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / block).cast("int") - 1, F.lit(0)))
-    blocks = once(values, lambda xs: F.transform(starts(xs), lambda b: F.slice(xs, b * block + 1, block)))
+    block = lambda xs: F.greatest(F.lit(8), F.ceil(F.cbrt(2 * F.size(xs))).cast("int"))
+    starts = lambda xs, n: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / n).cast("int") - 1, F.lit(0)))
+    blocks = once(values, lambda xs: once(block(xs), lambda n: F.transform(starts(xs, n), lambda b: F.slice(xs, b * n + 1, n))))
     within = lambda xs, base: F.transform(xs, lambda _, j: op(base, fold(F.slice(xs, F.lit(1), j))))
     both = once(blocks, lambda bs: F.struct(bs.alias("bs"), F.transform(bs, fold).alias("all")))
     return F.flatten(once(both, lambda w: F.transform(w["bs"], lambda xs, i: once(fold(F.slice(w["all"], F.lit(1), i)), lambda base: within(xs, base)))))
