@@ -29,6 +29,11 @@ class Union:
         return a != b
 
 
+def kind_of(df: DataFrame, column: str = "doc") -> str:
+    """The type of a column, which a grouped result keeps: documents go by number or by name."""
+    return dict(df.dtypes)[column]
+
+
 def by_affinity(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[pdf["dst"].notna()].sort_values(["affinity", "src", "dst"], ascending=[False, True, True])
 
@@ -41,7 +46,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         rows = by_affinity(pdf)
         return rows[[parts.join(int(a), int(b)) for a, b in zip(rows["src"], rows["dst"], strict=True)]]
 
-    return edges.select("doc", "src", "dst", "affinity").groupBy("doc").applyInPandas(one, "doc long, src long, dst long, affinity double")
+    return edges.select("doc", "src", "dst", "affinity").groupBy("doc").applyInPandas(one, f"doc {kind_of(edges)}, src long, dst long, affinity double")
 
 
 def components_by_doc(nodes: DataFrame, edges: DataFrame, above: float) -> DataFrame:
@@ -58,7 +63,7 @@ def components_by_doc(nodes: DataFrame, edges: DataFrame, above: float) -> DataF
 
     rows = nodes.select("doc", F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"))
     rows = rows.unionByName(edges.filter(F.col("affinity") > above).select("doc", "src", "dst"))
-    return rows.groupBy("doc").applyInPandas(one, "doc long, node long, component long")
+    return rows.groupBy("doc").applyInPandas(one, f"doc {kind_of(nodes)}, node long, component long")
 
 
 def entity_partition(edges: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def entity_partition(edges: DataFrame) -> DataFrame:
         m = sorted(mentions)
         return pd.DataFrame({"doc": pdf["doc"].iloc[0], "mention": [n // 2 for n in m], "entity": pd.array([entity.get(parts.root(n)) for n in m], "Int64")})
 
-    return edges.select("doc", "src", "dst", "affinity", "to_entity").groupBy("doc").applyInPandas(one, "doc long, mention long, entity long")
+    return edges.select("doc", "src", "dst", "affinity", "to_entity").groupBy("doc").applyInPandas(one, f"doc {kind_of(edges)}, mention long, entity long")
 
 
 def divisive_partition(edges: DataFrame) -> DataFrame:
@@ -126,4 +131,4 @@ def divisive_partition(edges: DataFrame) -> DataFrame:
         m = sorted(mentions)
         return pd.DataFrame({"doc": pdf["doc"].iloc[0], "mention": [n // 2 for n in m], "entity": pd.array([entity.get(n) for n in m], "Int64")})
 
-    return edges.select("doc", "src", "dst", "affinity", "to_entity").groupBy("doc").applyInPandas(one, "doc long, mention long, entity long")
+    return edges.select("doc", "src", "dst", "affinity", "to_entity").groupBy("doc").applyInPandas(one, f"doc {kind_of(edges)}, mention long, entity long")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -11,18 +15,83 @@ from pyspark.sql.window import Window
 from linkloom.functions.vectors import dot
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """(query, neighbour, affinity, rank): the k of ``base`` (id, vec) with the largest inner product for each of ``queries`` (id, vec), ties by id.
+#: Rows of a block of the base, and of a pack of queries.
+BLOCK, PACK = 4096, 512
+
+
+def nearest(ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray, k: int | None) -> tuple[np.ndarray, ...]:
+    """(query, neighbour, affinity): of each row of ``asked`` the k of ``ids`` with the largest inner product to 6 places, ties by id."""
+    s = np.round(asked @ vectors.T, 6) + 0.0
+    if k is not None and k < len(ids):
+        least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
+        q, at = np.nonzero(s >= least[:, None])  # k of each row, and those that tie with the last
+    else:
+        q, at = (x.ravel() for x in np.indices(s.shape))
+    order = np.lexsort((ids[at], -s[q, at], q))
+    q, at = q[order], at[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    kept = place < (len(ids) if k is None else k)
+    return q[kept], ids[at[kept]], s[q[kept], at[kept]]
+
 
-    The base is dealt into blocks by id; each query goes to each block, which keeps its own k best before they are ranked together.
-    Affinities are rounded to 6 places before they are compared, so that the order of a sum does not decide.
+def knn_join(queries: DataFrame, base: DataFrame, k: int | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """(query, neighbour, affinity, rank): the k of ``base`` (id, vec) with the largest inner product for each of ``queries`` (id, vec), ties by id; all of them without a k.
+
+    ``include`` or ``exclude`` (id) narrow the base, not both. The base is dealt into blocks of about ``BLOCK`` rows, queries into packs; each block multiplies the packs that stream by
+    and keeps their k best, which are then ranked together. Affinities are rounded to 6 places before they are compared, so that the order of a sum does not decide.
     """
-    dealt = base.select(F.col("id").alias("neighbour"), F.col("vec").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    sent = queries.select(F.col("id").alias("query"), F.col("vec").alias("q"), F.explode(F.array(*[F.lit(b).cast("long") for b in range(blocks)])).alias("block"))
-    pairs = sent.join(dealt, "block").select("query", "neighbour", "block", F.round(dot(F.col("q"), F.col("v")), 6).alias("affinity"))
-    best = [F.desc("affinity"), F.asc("neighbour")]
-    local = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query", "block").orderBy(*best))).filter(F.col("r") <= k).drop("r", "block")
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*best))).filter(F.col("rank") <= k)
+    if include is not None and exclude is not None:
+        raise ValueError("include or exclude, not both")
+    if include is not None:
+        base = base.join(include.select("id").distinct(), "id", "left_semi")
+    if exclude is not None:
+        base = base.join(exclude.select("id").distinct(), "id", "left_anti")
+    spark = base.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, packs = (max(1, -(-df.count() // size)) for df, size in ((base, BLOCK), (queries, PACK)))
+    rows = lambda df, n, name: df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))).alias("rows"))
+    held = rows(base, blocks, "block").withColumn("pack", F.lit(None).cast("int"))
+    asked = rows(queries, packs, "pack").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # A block's own rows come before the packs.
+    stream = held.unionByName(asked).repartition(max(1, min(blocks, 4 * parts)), "block").sortWithinPartitions("block", F.asc_nulls_first("pack")).select("block", "pack", "rows")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, ids, vectors = None, np.empty(0, np.int64), np.empty((0, 0))
+        for batch in batches:
+            for block, pack, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = row.values.field("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                v = row.values.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                if pack is None:
+                    of, ids, vectors = block, x, v
+                elif of == block:
+                    q, n, s = nearest(ids, vectors, v, k)
+                    yield pa.record_batch([pa.array(x[q]), pa.array(n), pa.array(s)], names=["query", "neighbour", "affinity"])
+
+    found = stream.mapInArrow(answer, "query long, neighbour long, affinity double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("affinity"), "neighbour")))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
+def knn_without(queries: DataFrame, base: DataFrame, banned: DataFrame, k: int, shared: DataFrame | None = None) -> DataFrame:
+    """Like ``knn_join``, of which each query leaves out itself, its own ``banned`` (query, id) and what is ``shared`` (id); exact, so never fewer than k while there are as many.
+
+    A query asks for as many more as it bans, so nothing has to be asked again.
+    """
+    out = banned.select(F.col("query").cast("long").alias("query"), F.col("id").cast("long").alias("neighbour")).unionByName(queries.select(F.col("id").alias("query"), F.col("id").alias("neighbour")))
+    if shared is not None:
+        base = base.join(shared.select("id").distinct(), "id", "left_anti")
+    most = out.distinct().groupBy("query").count().agg(F.max("count")).first()[0] or 0
+    left = knn_join(queries, base, k + most).join(out.distinct(), ["query", "neighbour"], "left_anti")
+    again = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
+    return left.withColumn("rank", again).filter(F.col("rank") <= k)
+
+
+def neighbour_graph(nodes: DataFrame, k: int) -> DataFrame:
+    """(src, dst, distance): an edge between each of ``nodes`` (id, vec) and its k nearest others, each pair once."""
+    near = knn_without(nodes, nodes, nodes.select(F.col("id").alias("query"), "id").limit(0), k)
+    edges = near.select(F.least("query", "neighbour").alias("src"), F.greatest("query", "neighbour").alias("dst"), F.round(1 - F.col("affinity"), 6).alias("distance"))
+    return edges.distinct()
 
 
 def cell_centres(base: DataFrame, cells: int, sample: int = 256) -> DataFrame:

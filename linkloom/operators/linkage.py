@@ -7,11 +7,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkloom.operators.graph import Union, by_affinity, components_by_doc, spanning_forest
+from linkloom.operators.components import global_forest, labelled
+from linkloom.operators.graph import Union, by_affinity, components_by_doc, kind_of, spanning_forest
+from linkloom.operators.lineage import cut
+from linkloom.operators.negatives import hash01
+from linkloom.operators.numbering import dense_index
 
 
 def merge_gains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,7 +46,7 @@ def merge_gains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     rows = nodes.select("doc", F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("affinity"), "gold")
     rows = rows.unionByName(edges.select("doc", "src", "dst", "affinity", F.lit(None).cast("long").alias("gold")))
-    return rows.groupBy("doc").applyInPandas(one, "doc long, affinity double, hits long, pairs long")
+    return rows.groupBy("doc").applyInPandas(one, f"doc {kind_of(nodes)}, affinity double, hits long, pairs long")
 
 
 def threshold_sweep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -51,15 +57,79 @@ def threshold_sweep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     gains = merge_gains(nodes, edges).groupBy("affinity").agg(F.sum("hits").alias("hits"), F.sum("pairs").alias("pairs"))
     above = Window.orderBy(F.desc("affinity")).rowsBetween(Window.unboundedPreceding, -1)
+    swept = gains.select("affinity", *[F.coalesce(F.sum(c).over(above), F.lit(0)).cast("double").alias(c) for c in ("hits", "pairs")])
+    return scores_of(nodes, swept)
+
+
+def scores_of(nodes: DataFrame, swept: DataFrame) -> DataFrame:
+    """(threshold, fmi, ari) of ``swept`` (affinity, hits, pairs): pairs within parts above the affinity, and those of one gold."""
     total = nodes.agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("c"))
     gold = nodes.groupBy("doc", "gold").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("a"))
-    swept = gains.select("affinity", *[F.coalesce(F.sum(c).over(above), F.lit(0)).cast("double").alias(c) for c in ("hits", "pairs")])
     x = F.col("a") * F.col("pairs") / F.col("c")
     fmi = F.when(F.col("hits") == 0, 0.0).otherwise(F.col("hits") / F.sqrt(F.col("a") * F.col("pairs")))
     ari = F.when((F.col("a") + F.col("pairs")) / 2 == x, 1.0).otherwise((F.col("hits") - x) / ((F.col("a") + F.col("pairs")) / 2 - x))
     return swept.crossJoin(F.broadcast(total.crossJoin(gold))).select(F.col("affinity").alias("threshold"), F.round(fmi, 6).alias("fmi"), F.round(ari, 6).alias("ari"))
 
 
+def threshold_candidates(weights: DataFrame, most: int = 1000) -> DataFrame:
+    """(threshold): all of ``weights`` (affinity) if there are fewer than ``most``, else that many one-dimensional k-means centres of them."""
+    if weights.limit(most).count() < most:
+        return weights.select(F.col("affinity").alias("threshold"))
+    points = weights.select(array_to_vector(F.array("affinity")).alias("features"))
+    centres = KMeans(k=most, seed=0, maxIter=20).fit(points).clusterCenters()
+    return weights.sparkSession.createDataFrame([(float(c[0]),) for c in centres], "threshold double")
+
+
+def sweep_at(nodes: DataFrame, edges: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(threshold, fmi, ari) like ``threshold_sweep``, at any thresholds: sums of the merges above each, by one join and a running sum over both."""
+    gains = merge_gains(nodes, edges).groupBy("affinity").agg(F.sum("hits").alias("hits"), F.sum("pairs").alias("pairs")).select("affinity", "hits", "pairs", F.lit(1).alias("kind"))
+    asked = thresholds.select(F.col("threshold").alias("affinity"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("pairs"), F.lit(0).alias("kind")).distinct()
+    # At equal values the threshold comes first, since an edge has to be above it.
+    above = Window.orderBy(F.desc("affinity"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = gains.unionByName(asked).select("affinity", "kind", *[F.sum(c).over(above).cast("double").alias(c) for c in ("hits", "pairs")]).filter("kind = 0")
+    return scores_of(nodes, swept)
+
+
+def document_sweep(nodes: DataFrame, edges: DataFrame, links: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, fmi, nmi, ari, accuracy) of single linkage: the metrics as means over documents, and the share of mentions whose part, by its summed link scores, has their gold entity.
+
+    ``nodes`` are (doc, node, gold), ``links`` (node, entity, affinity). Of the pure ones of a document, one in which both sides are one part has ARI and NMI 1.
+    """
+    forest = cut(spanning_forest(edges))
+    rows = None
+    for t in sorted(thresholds):
+        parts = components_by_doc(nodes.select("doc", "node"), forest, t).join(nodes, ["doc", "node"]).withColumn("threshold", F.lit(float(t)))
+        rows = parts if rows is None else rows.unionByName(parts)
+    rows = cut(rows)
+    cells = rows.groupBy("threshold", "doc", "gold", "component").count().withColumnRenamed("count", "n")
+    pairs = lambda c: F.sum(c * (c - 1)) / 2
+    info = lambda c: F.sum(c * F.log(c.cast("double")))
+    n = F.col("n")
+    per = cells.groupBy("threshold", "doc").agg(F.sum(n).cast("double").alias("all"), pairs(n).alias("tp"), info(n).alias("uv"))
+    for by, names in (("gold", ("a", "u")), ("component", ("b", "v"))):
+        side = cells.groupBy("threshold", "doc", by).agg(F.sum("n").alias("n")).groupBy("threshold", "doc").agg(pairs(n).alias(names[0]), info(n).alias(names[1]))
+        per = per.join(side, ["threshold", "doc"])
+    by_chance, mean = F.when(F.col("all") > 1, F.col("a") * F.col("b") / (F.col("all") * (F.col("all") - 1) / 2)).otherwise(0.0), (F.col("a") + F.col("b")) / 2
+    log_all = F.log("all")
+    h_u, h_v = log_all - F.col("u") / F.col("all"), log_all - F.col("v") / F.col("all")
+    mutual = log_all + (F.col("uv") - F.col("u") - F.col("v")) / F.col("all")
+    per = per.select(
+        "threshold", F.when(F.col("tp") == 0, 0.0).otherwise(F.col("tp") / F.sqrt(F.col("a") * F.col("b"))).alias("fmi"),
+        F.when(mean == by_chance, 1.0).otherwise((F.col("tp") - by_chance) / (mean - by_chance)).alias("ari"),
+        F.when(h_u + h_v <= 1e-12, 1.0).otherwise(mutual / ((h_u + h_v) / 2)).alias("nmi"),
+    )
+    scored = rows.join(links, "node").groupBy("threshold", "doc", "component", "entity").agg(F.round(F.sum("affinity"), 6).alias("total"))
+    best = scored.groupBy("threshold", "doc", "component").agg(F.max(F.struct("total", (-F.col("entity")).alias("e"))).alias("top")).select("threshold", "doc", "component", (-F.col("top.e")).alias("entity"))
+    hits = rows.join(best, ["threshold", "doc", "component"], "left").groupBy("threshold").agg(F.round(F.avg(F.when(F.col("entity") == F.col("gold"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
+    means = per.groupBy("threshold").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("fmi", "nmi", "ari")])
+    return means.join(hits, "threshold")
+
+
+def best_accuracy(sweep: DataFrame) -> DataFrame:
+    """The row with the largest accuracy; of equals the smallest threshold."""
+    return sweep.orderBy(F.desc("accuracy"), "threshold").limit(1)
+
+
 def best_threshold(sweep: DataFrame) -> DataFrame:
     """The row with the largest ARI; of equals the smallest threshold."""
     return sweep.orderBy(F.desc("ari"), "threshold").limit(1)
@@ -92,7 +162,7 @@ def agglomerate(edges: DataFrame, method: str = "average", alpha: float = -20.0)
             at = d[np.ix_(parts[a], parts[b])]
             x, y = divmod(int(np.argmax(at) if sharp > 0 else np.argmin(at)), at.shape[1])
             src, dst = sorted((ids[parts[a][x]], ids[parts[b][y]]))
-            rows.append((step, ids[a], ids[b], round(float(cost[a, b]), 6), src, dst))
+            rows.append((step, ids[a], ids[b], round(float(cost[a, b]) + 1e-9, 6), src, dst))  # halves of the last place go up
             for m in (top, weight):
                 m[a] += m[b]
                 m[:, a] += m[:, b]
@@ -104,7 +174,90 @@ def agglomerate(edges: DataFrame, method: str = "average", alpha: float = -20.0)
         out = pd.DataFrame(rows, columns=["step", "a", "b", "cost", "src", "dst"])
         return out.assign(doc=pdf["doc"].iloc[0])[["doc", "step", "a", "b", "cost", "src", "dst"]]
 
-    return edges.select("doc", "src", "dst", "affinity").groupBy("doc").applyInPandas(one, "doc long, step int, a long, b long, cost double, src long, dst long")
+    return edges.select("doc", "src", "dst", "affinity").groupBy("doc").applyInPandas(one, f"doc {kind_of(edges)}, step int, a long, b long, cost double, src long, dst long")
+
+
+def exponential_pairs(nodes: DataFrame, edges: DataFrame, alpha: float = -20.0, margin: float = 0.5, far: float = 0.85) -> DataFrame:
+    """(doc, step, coefficient, a, b): pairs that train exponential linkage.
+
+    Parts of one gold cluster merge, at the least cost, until each cluster is one part. A step counts if its cost is more than ``far``, or within ``margin`` of the least cost
+    of two parts of different clusters: it gives its own pairs with their weights, and those of that other merge with negative ones. Costs and ties are those of ``agglomerate``;
+    where no two clusters are left to confuse, there are no negatives.
+    """
+    if abs(alpha) > 300:
+        raise ValueError(alpha)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        gold = {int(n): int(g) for n, g in pdf.loc[pdf["dst"].isna(), ["src", "gold"]].itertuples(index=False)}
+        ids = np.array(sorted(gold), np.int64)
+        rows = pdf[pdf["dst"].notna()]
+        d = np.ones((len(ids), len(ids)))
+        i, j = (np.searchsorted(ids, rows[c].to_numpy(np.int64)) for c in ("src", "dst"))
+        d[i, j] = d[j, i] = np.round(1 - rows["affinity"].to_numpy(float), 6)
+        w = np.exp(alpha * (d - d.min()))
+        top, weight, n = w * d, w.copy(), np.arange(len(ids))
+        of = np.array([gold[int(x)] for x in ids], np.int64)
+        parts = {int(x): [int(x)] for x in n}
+        out: list[tuple] = []
+        step = 0
+        while len(live := np.array(sorted(parts), np.int64)) > 1:
+            cost = np.where(live[:, None] < live, top[np.ix_(live, live)] / weight[np.ix_(live, live)], np.inf)
+            same = of[live][:, None] == of[live]
+            merges = []
+            for mask in (same, ~same):
+                c = np.where(mask, cost, np.inf)
+                x, y = divmod(int(np.argmin(c)), len(live))
+                merges.append((float(c[x, y]), int(live[x]), int(live[y])))
+            (pure, a, b), (impure, p, q) = merges
+            if not np.isfinite(pure):
+                break
+            if pure + margin > impure or pure > far:
+                for sign, x, y, c in ((1.0, a, b, pure), (-1.0, p, q, impure)):
+                    if np.isfinite(c):
+                        out += [(step, round(sign * w[s, t] / weight[x, y], 6), *sorted((int(ids[s]), int(ids[t])))) for s in parts[x] for t in parts[y]]
+            for m in (top, weight):
+                m[a] += m[b]
+                m[:, a] += m[:, b]
+            parts[a] = sorted(parts[a] + parts.pop(b))
+            step += 1
+        got = pd.DataFrame(out, columns=["step", "coefficient", "a", "b"]).astype({"step": int, "coefficient": float, "a": int, "b": int})
+        return got.assign(doc=pdf["doc"].iloc[0])[["doc", "step", "coefficient", "a", "b"]]
+
+    rows = nodes.select("doc", F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("affinity"), "gold")
+    rows = rows.unionByName(edges.select("doc", "src", "dst", "affinity", F.lit(None).cast("long").alias("gold")))
+    return rows.groupBy("doc").applyInPandas(one, f"doc {kind_of(nodes)}, step int, coefficient double, a long, b long")
+
+
+def cluster_pairs(gold: DataFrame, distances: DataFrame, far: float = 0.85, margin: float = 0.2, first_epoch: bool = False, seed: str = "0") -> DataFrame:
+    """(entity, kind, coefficient, a, b): pairs that train single linkage across documents; kind is mm or me, b the entity in me.
+
+    ``gold`` is (node, entity), ``distances`` (src, dst, kind, distance), where dst is the entity in me. A cluster's tree is the minimum spanning forest of its own edges; in the first epoch of
+    those between mentions alone, and all its mentions' edges to the entity are positives besides. Tree edges longer than ``far`` are positives (0). An edge with one end in the cluster
+    that is shorter than ``far`` + ``margin`` is a negative (1) with a probability of (tree edges + 1) / such edges, by a hash.
+    """
+    e = distances.join(gold.select(F.col("node").alias("src"), F.col("entity").alias("of_src")), "src", "left")
+    other = gold.select(F.col("node").alias("dst"), F.col("entity").alias("of_dst"), F.lit("mm").alias("kind"))
+    e = cut(e.join(other, ["dst", "kind"], "left").withColumn("of_dst", F.when(F.col("kind") == "me", F.col("dst")).otherwise(F.col("of_dst"))))
+    own = e.filter("of_src = of_dst").select(F.col("of_src").alias("entity"), "kind", "src", "dst", "distance")
+    inner = own.filter("kind = 'mm'") if first_epoch else own
+    # Entities are numbered apart from mentions, so that one forest holds both: clusters share no edge.
+    name = lambda c, kind: F.col(c) * 2 + F.when(kind, 1).otherwise(0)
+    graph = inner.select(F.col("entity").alias("doc"), name("src", F.lit(False)).alias("x"), name("dst", F.col("kind") == "me").alias("y"), (-F.col("distance")).alias("affinity"))
+    forest = cut(spanning_forest(graph.select("doc", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "affinity")))
+    size = forest.groupBy(F.col("doc").alias("entity")).agg(F.count(F.lit(1)).alias("tree"))
+    entity_end = lambda c: F.col(c) % 2 == 1
+    mention = F.when(entity_end("src"), F.col("dst")).otherwise(F.col("src"))
+    far_end = F.when(entity_end("src"), F.col("src")).otherwise(F.col("dst"))
+    long_ = forest.filter(F.round(-F.col("affinity"), 6) > far).select(F.col("doc").alias("entity"), F.when(F.pmod(far_end, F.lit(2)) == 1, "me").otherwise("mm").alias("kind"), F.lit(0.0).alias("coefficient"), F.floor(mention / 2).alias("a"), F.floor(far_end / 2).alias("b"))
+    if first_epoch:
+        long_ = long_.unionByName(own.filter("kind = 'me'").select("entity", "kind", F.lit(0.0).alias("coefficient"), F.col("src").alias("a"), F.col("dst").alias("b")))
+    outside = e.filter(F.coalesce(F.col("of_src") != F.col("of_dst"), F.lit(True)) & (F.col("distance") < far + margin))
+    touched = F.explode(F.array_distinct(F.filter(F.array("of_src", F.when(F.col("kind") == "mm", F.col("of_dst"))), lambda x: x.isNotNull())))
+    negative = outside.select(touched.alias("entity"), "kind", F.col("src").alias("a"), F.col("dst").alias("b"))
+    many = negative.groupBy("entity").agg(F.count(F.lit(1)).alias("negatives"))
+    chance = (F.coalesce("tree", F.lit(0)) + 1) / F.col("negatives")
+    picked = negative.join(many, "entity").join(size, "entity", "left").filter(hash01(F.lit(seed), "entity", "kind", "a", "b") < chance)
+    return long_.unionByName(picked.select("entity", "kind", F.lit(1.0).alias("coefficient"), "a", "b"))
 
 
 def gold_tree_edges(edges: DataFrame) -> DataFrame:
@@ -132,7 +285,7 @@ def single_linkage_pairs(edges: DataFrame, far: float = 0.85) -> DataFrame:
 def cut_for(nodes: DataFrame, forest: DataFrame, parts: int) -> float:
     """The smallest affinity of the forest whose strict cut leaves at least ``parts`` components; infinity if none does.
 
-    A forest of n nodes falls into n less the edges kept, so a running count finds it.
+    A forest of n nodes falls into n less the edges kept, so a running count finds it; affinities have 6 places, which bounds what is counted in order.
     """
     n = nodes.count()
     above = Window.orderBy(F.desc("affinity")).rowsBetween(Window.unboundedPreceding, -1)
@@ -144,9 +297,20 @@ def cut_for(nodes: DataFrame, forest: DataFrame, parts: int) -> float:
 def curriculum(nodes: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
     """(gold, component, place): gold clusters in the order in which components, by their smallest node, first hold one of their mentions.
 
-    Components are those of the cut that leaves at least ``parts``. Ties within a component go by gold.
+    Components are those of the cut of the documents' forests that leaves at least ``parts``. Ties within a component go by gold.
     """
     forest = spanning_forest(edges)
     found = components_by_doc(nodes.select("doc", "node"), forest, cut_for(nodes, forest, parts))
-    first = found.join(nodes.select("doc", "node", "gold"), ["doc", "node"]).groupBy("gold").agg(F.min("component").alias("component"))
-    return first.withColumn("place", F.row_number().over(Window.orderBy("component", "gold")) - 1)
+    return ordered_clusters(found.join(nodes.select("doc", "node", "gold"), ["doc", "node"]))
+
+
+def global_curriculum(nodes: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
+    """``curriculum`` over a graph (src, dst, affinity) that spans documents, such as one of nearest neighbours."""
+    forest = cut(global_forest(edges))
+    kept = forest.filter(F.col("affinity") > cut_for(nodes, forest, parts)).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return ordered_clusters(labelled(nodes.select("node").distinct(), kept).join(nodes.select("node", "gold"), "node"))
+
+
+def ordered_clusters(found: DataFrame) -> DataFrame:
+    first = cut(found.groupBy("gold").agg(F.min("component").alias("component")))
+    return dense_index(first, ["component", "gold"], "place")
