@@ -16,11 +16,13 @@ from linkloom.functions.text import context_window, span, tokens
 from linkloom.operators.graph import divisive_partition, entity_partition, spanning_forest
 from linkloom.operators.knn import knn_join, knn_join_cells
 from linkloom.operators.linkage import agglomerate, best_threshold, curriculum, gold_tree_edges, single_linkage_pairs, threshold_sweep
+from linkloom.operators.numbering import dense_index
+from linkloom.operators.pairs import triplets
+from linkloom.plans import corpora, library
 from linkloom.plans.examples import TEXTS as EXAMPLES
 from linkloom.plans.relations import RELATIONS, duckdb
 
 TEXTS = {
-    "p1_global_index": "SELECT idx, CAST(CASE WHEN idx = gold THEN row_number() OVER (PARTITION BY idx = gold ORDER BY idx) - 1 ELSE row_number() OVER (PARTITION BY idx = gold ORDER BY idx) - 1 + (SELECT count(*) FROM {ent}) END AS BIGINT) AS pos, CASE WHEN idx = gold THEN 'entity' ELSE 'mention' END AS kind FROM {node}",
     "p4_mention_entity_edges": "SELECT midx, eidx, affinity FROM {cand} WHERE eidx <> gold",
     "p9_threshold_prune": "SELECT doc, src, dst, affinity FROM {mm} WHERE affinity > 0.2",
     "p10_distance_prune": "SELECT doc, src, dst, round(1 - affinity, 6) AS distance FROM {mm} WHERE round(1 - affinity, 6) <= 0.8",
@@ -28,7 +30,7 @@ TEXTS = {
     "j3_gold_entity": "SELECT m.midx, m.doc, e.eidx FROM {men} m LEFT JOIN {ent} e ON m.gold = e.eidx",
     "j5_within_doc_pairs": "SELECT doc, src, dst, affinity FROM {mm}",
     "j6_candidate_edges": "SELECT midx, eidx, affinity, rank FROM {cand}",
-    "j7_two_hop_candidates": "WITH both_ways AS (SELECT src AS a, dst AS b, affinity FROM {mm} UNION ALL SELECT dst, src, affinity FROM {mm}), near AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY affinity DESC, b) AS r FROM both_ways) x WHERE r <= 5) SELECT DISTINCT n.a AS midx, c.eidx FROM near n JOIN {cand} c ON c.midx = n.b LEFT JOIN {cand} own ON own.midx = n.a AND own.eidx = c.eidx WHERE own.eidx IS NULL",
+    "j7_two_hop_candidates": "WITH both_ways AS (SELECT src AS a, dst AS b, affinity FROM {mm} UNION ALL SELECT dst, src, affinity FROM {mm}), near AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY affinity DESC, b) AS r FROM both_ways) x WHERE r <= 5) SELECT DISTINCT n.a AS midx, c.eidx FROM near n JOIN {scored} c ON c.midx = n.b AND c.rank <= 5 LEFT JOIN {cand} own ON own.midx = n.a AND own.eidx = c.eidx WHERE own.eidx IS NULL",
     "j8_in_cluster_pairs": "SELECT doc, src, dst FROM {mm} WHERE same",
     "j15_knn_exact": "SELECT midx, eidx, affinity, rank FROM {scored} WHERE rank <= 5",
     "j22_document_candidate_pool": "SELECT DISTINCT m.midx, c.eidx FROM {men} m JOIN {cand} c ON c.doc = m.doc",
@@ -42,22 +44,20 @@ TEXTS = {
     "a16_cluster_then_link_sum": "SELECT c.midx, w.eidx FROM {comp} c JOIN (SELECT component, eidx, row_number() OVER (PARTITION BY component ORDER BY total DESC, eidx) AS r FROM (SELECT c.component, k.eidx, round(sum(k.affinity), 6) AS total FROM {comp} c JOIN {cand} k ON k.midx = c.midx GROUP BY c.component, k.eidx) x) w ON w.component = c.component WHERE w.r = 1",
     "a17_cluster_then_link_min": "SELECT c.midx, w.eidx FROM {comp} c JOIN (SELECT component, eidx, row_number() OVER (PARTITION BY component ORDER BY affinity DESC, eidx, midx) AS r FROM (SELECT c.component, k.eidx, k.affinity, k.midx FROM {comp} c JOIN {cand} k ON k.midx = c.midx WHERE k.rank = 1) x) w ON w.component = c.component WHERE w.r = 1",
     "a18_gold_cluster_probe": "SELECT gold AS eidx, count(*) AS members, max(CASE WHEN eidx = gold THEN 1 ELSE 0 END) AS any_hit FROM {cand} WHERE rank = 1 GROUP BY gold",
-    "a24_recall_at_k": "SELECT k, round(avg(CASE WHEN rank <= k THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS recall FROM {scored} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 8) ks WHERE eidx = gold GROUP BY k",
+    "a24_recall_at_k": "SELECT k, round(avg(CASE WHEN rank <= k THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS recall FROM {scored} CROSS JOIN (" + " UNION ALL ".join(f"SELECT {2**i} AS k" for i in range(10)) + ") ks WHERE eidx = gold GROUP BY k",
     "a29_component_sizes": "SELECT doc, component, count(*) AS size, count(DISTINCT gold) AS golds FROM {comp} GROUP BY doc, component",
     "a32_largest_cluster": "SELECT max(n) AS largest FROM (SELECT count(*) AS n FROM {men} GROUP BY gold) x",
     "g3_single_linkage": "SELECT doc, midx, component FROM {comp}",
-    "w1_hardest_negatives": "WITH both_ways AS (SELECT src AS a, dst AS b, affinity, same FROM {mm} UNION ALL SELECT dst, src, affinity, same FROM {mm}) SELECT a AS anchor, b AS neg, CAST(r AS INTEGER) AS r FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY affinity DESC, b) AS r FROM both_ways WHERE NOT same) x WHERE r <= 4",
+    "w1_hardest_negatives": "WITH both_ways AS (SELECT src AS a, dst AS b, affinity, same FROM {mm} UNION ALL SELECT dst, src, affinity, same FROM {mm}) SELECT a AS anchor, b AS neg, 'mention' AS kind, CAST(r AS INTEGER) AS r FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY affinity DESC, b) AS r FROM both_ways WHERE NOT same) x WHERE r <= 4 UNION ALL SELECT midx, eidx, 'entity', CAST(r AS INTEGER) FROM (SELECT midx, eidx, row_number() OVER (PARTITION BY midx ORDER BY rank) AS r FROM {scored} WHERE eidx <> gold) y WHERE r <= 4",
     "w2_top_neighbours": "WITH both_ways AS (SELECT src AS a, dst AS b, affinity FROM {mm} UNION ALL SELECT dst, src, affinity FROM {mm}) SELECT a, b, affinity FROM (SELECT a, b, affinity, row_number() OVER (PARTITION BY a ORDER BY affinity DESC, b) AS r FROM both_ways) x WHERE r <= 5",
     "w3_candidate_negatives": "SELECT midx, eidx, CAST(r AS INTEGER) AS slot FROM (SELECT midx, eidx, row_number() OVER (PARTITION BY midx ORDER BY rank) AS r FROM {cand} WHERE eidx <> gold) x WHERE r <= 2",
     "w4_context_overlap_negatives": "SELECT anchor, neg, CAST(r AS INTEGER) AS slot FROM (SELECT a.midx AS anchor, b.midx AS neg, row_number() OVER (PARTITION BY a.midx ORDER BY abs(a.start_index - b.start_index), b.midx) AS r FROM {men} a JOIN {men} b ON a.doc = b.doc AND a.gold <> b.gold) x WHERE r <= 3",
     "t4_sample_without_replacement": "SELECT gold, midx FROM (SELECT gold, midx, row_number() OVER (PARTITION BY gold ORDER BY md5(CAST(midx AS VARCHAR(20))), midx) AS r FROM {men}) x WHERE r <= 5",
     "u3_example_set": "SELECT midx AS idx FROM {men} UNION SELECT eidx FROM {cand} UNION SELECT gold FROM {men}",
-    "b3_triplets": "WITH both_ways AS (SELECT src AS a, dst AS b, affinity, same FROM {mm} UNION ALL SELECT dst, src, affinity, same FROM {mm}), ranked AS (SELECT *, row_number() OVER (PARTITION BY a, same ORDER BY affinity DESC, b) - 1 AS r, count(*) OVER (PARTITION BY a, same) AS n FROM both_ways) SELECT p.a AS anchor, p.b AS pos, q.b AS neg FROM ranked p JOIN ranked q ON p.a = q.a AND p.same AND NOT q.same AND q.r = p.r",
     "l1_triplet_margin_loss": "WITH best AS (SELECT c.midx, max(CASE WHEN eidx = gold THEN affinity END) AS pos, max(CASE WHEN eidx <> gold THEN affinity END) AS neg FROM {scored} c GROUP BY c.midx) SELECT round(avg(greatest(neg - pos + 0.5, 0)), 6) AS loss, round(avg(1 / (1 + exp(-(neg - pos + 0.5)))), 6) AS bpr FROM best",
     "l3_softmax_loss": "SELECT round(avg(lse - pos), 6) AS loss FROM (SELECT midx, ln(sum(exp(affinity))) AS lse, max(CASE WHEN eidx = gold THEN affinity END) AS pos FROM {scored} GROUP BY midx) x",
     "l4_threshold_loss": "SELECT round(avg(greatest(0.5 - CASE WHEN same THEN affinity ELSE -affinity END, 0)), 6) AS loss FROM {mm}",
     "a26_loss_breakdown": "SELECT CASE WHEN same THEN 'positive' ELSE 'negative' END AS kind, count(*) AS pairs, round(avg(affinity), 6) AS mean FROM {mm} GROUP BY CASE WHEN same THEN 'positive' ELSE 'negative' END",
-    "b6_cluster_batches": "SELECT eidx, CAST(floor((row_number() OVER (ORDER BY eidx) - 1) / 4.0) AS BIGINT) AS batch FROM {ent}",
 } | EXAMPLES
 _NAME = re.compile(r"\{(\w+)\}")
 
@@ -118,6 +118,79 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(m, RELATIONS["mm"](spark, sf_dir), 100)
 
 
+def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities from 0 by id, then mentions by theirs."""
+    n = RELATIONS["node"](spark, sf_dir).select("idx", (F.col("idx") == F.col("gold")).alias("is_entity"))
+    e = dense_index(n.filter("is_entity"), ["idx"], "pos")
+    m = dense_index(n.filter("not is_entity"), ["idx"], "pos", start=e.count())
+    return e.unionByName(m).select("idx", "pos", F.when(F.col("is_entity"), "entity").otherwise("mention").alias("kind"))
+
+
+def entity_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_index(RELATIONS["ent"](spark, sf_dir).select("eidx"), ["eidx"], "place").select("eidx", F.floor(F.col("place") / 4).cast("long").alias("batch"))
+
+
+def anchor_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cluster, anchor, pos, neg) of each mention within its document, both lists by falling affinity."""
+    best = F.struct((-F.col("affinity")).alias("d"), "b")
+    of = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, best))), lambda x: x["b"])
+    return RELATIONS["ends"](spark, sf_dir).groupBy(F.col("doc").alias("cluster"), F.col("a").alias("anchor")).agg(of(F.col("same")).alias("pos"), of(~F.col("same")).alias("neg"))
+
+
+def anchor_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triplets(anchor_lists(spark, sf_dir)).select("anchor", "at", "pos", "neg")
+
+
+LISTS = "WITH l AS (SELECT a, list(b ORDER BY affinity DESC, b) FILTER (same) AS pos, list(b ORDER BY affinity DESC, b) FILTER (NOT same) AS neg FROM ends GROUP BY a)"
+BY_HAND = {
+    "p1_global_index": ("SELECT idx, pos, CASE WHEN is_entity THEN 'entity' ELSE 'mention' END AS kind FROM gn", "gn"),
+    "b6_cluster_batches": ("SELECT eidx, CAST(floor((row_number() OVER (ORDER BY eidx) - 1) / 4.0) AS BIGINT) AS batch FROM ent", "ent"),
+    "b3_triplets": (LISTS + " SELECT a AS anchor, i AS at, pos[i % len(pos) + 1] AS pos, neg[i % len(neg) + 1] AS neg FROM (SELECT *, unnest(range(greatest(len(pos), len(neg)))) AS i FROM l WHERE pos IS NOT NULL AND neg IS NOT NULL) x", "ends"),
+    "g1_spanning_forest": ("SELECT f.doc, a.idx AS src, b.idx AS dst, f.affinity FROM forest f JOIN gn a ON a.pos = f.src JOIN gn b ON b.pos = f.dst", "forest gn"),
+    "g4_entity_partition": ("SELECT p.doc, m.idx AS mention, e.idx AS entity FROM parted p JOIN gn m ON m.pos = p.mention LEFT JOIN gn e ON e.pos = p.entity", "parted gn"),
+    "g5_joint_accuracy": ("SELECT round(avg(CASE WHEN p.entity = m.gold THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS accuracy, count(*) AS mentions FROM gm m LEFT JOIN parted p ON p.mention = m.midx", "parted gm"),
+    "a30_partition_outcomes": ("SELECT count(entity) AS possible, count(*) FILTER (entity IS NULL) AS not_possible, count(*) FILTER (entity = gold) AS hits FROM parted p JOIN gm m ON m.midx = p.mention", "parted gm"),
+    "g9_gold_tree_edges": ("SELECT f.doc, a.idx AS a, b.idx AS b, f.affinity FROM (SELECT doc, src, dst, affinity FROM forest_gold UNION ALL SELECT doc, dst, src, affinity FROM forest_gold) f JOIN gn a ON a.pos = f.src JOIN gn b ON b.pos = f.dst", "forest_gold gn"),
+    "g14_single_linkage_pairs": (
+        "WITH outside AS (SELECT doc, src AS a, dst AS b, round(1 - affinity, 6) AS d FROM gp WHERE NOT same UNION ALL SELECT doc, dst, src, round(1 - affinity, 6) FROM gp WHERE NOT same), near AS (SELECT doc, a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY doc, a ORDER BY d, b) AS r FROM outside) x WHERE r = 1), "
+        "tree AS (SELECT doc, src AS a, dst AS b, round(1 - affinity, 6) AS d FROM forest_gold UNION ALL SELECT doc, dst, src, round(1 - affinity, 6) FROM forest_gold), "
+        "hard AS (SELECT t.doc, t.a, t.b, x.b AS out FROM tree t LEFT JOIN near x ON x.doc = t.doc AND x.a = t.a LEFT JOIN near y ON y.doc = t.doc AND y.a = t.b WHERE t.d > 0.85 OR coalesce(least(x.d, y.d) < t.d, false) OR coalesce(least(x.d, y.d) < 0.85, false)), "
+        "rows_ AS (SELECT doc, CAST(1 AS DOUBLE) AS coefficient, a, b FROM hard UNION ALL SELECT DISTINCT doc, CAST(-1 AS DOUBLE), a, out FROM hard WHERE out IS NOT NULL) "
+        "SELECT r.doc, r.coefficient, a.idx AS a, b.idx AS b FROM rows_ r JOIN gn a ON a.pos = r.a JOIN gn b ON b.pos = r.b", "gp forest_gold gn",
+    ),
+    "a13_threshold_sweep": (
+        "WITH at AS (SELECT doc, k, affinity, lu, lv, unnest(nodes) AS midx, unnest(was) AS label FROM grown WHERE kept), "
+        "met AS (SELECT s.doc, s.k, s.affinity, m.gold, count(*) FILTER (s.label = s.lu) AS x, count(*) FILTER (s.label = s.lv) AS y FROM at s JOIN gm m ON m.midx = s.midx GROUP BY s.doc, s.k, s.affinity, m.gold), "
+        "gain AS (SELECT affinity, sum(hits) AS hits, sum(pairs) AS pairs FROM (SELECT doc, k, affinity, sum(x * y) AS hits, sum(x) * sum(y) AS pairs FROM met GROUP BY doc, k, affinity) g GROUP BY affinity), "
+        "above AS (SELECT t.affinity, CAST(coalesce(sum(g.hits), 0) AS DOUBLE) AS hits, CAST(coalesce(sum(g.pairs), 0) AS DOUBLE) AS pairs FROM gain t LEFT JOIN gain g ON g.affinity > t.affinity GROUP BY t.affinity), "
+        "whole AS (SELECT count(*) * (count(*) - 1) / 2 AS c FROM gm), gold AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT count(*) AS n FROM gm GROUP BY doc, gold) x) "
+        "SELECT affinity AS threshold, round(CASE WHEN hits = 0 THEN 0 ELSE hits / sqrt(a * pairs) END, 6) AS fmi, round(CASE WHEN (a + pairs) / 2 = a * pairs / c THEN 1 ELSE (hits - a * pairs / c) / ((a + pairs) / 2 - a * pairs / c) END, 6) AS ari FROM above, whole, gold".replace("at AS (", "stage AS (").replace("FROM at s", "FROM stage s"),
+        "grown gm",
+    ),
+    "g16_curriculum": (
+        "WITH weight AS (SELECT DISTINCT affinity FROM forest), chosen AS (SELECT min(w.affinity) AS t FROM weight w WHERE (SELECT count(*) FROM gm) - (SELECT count(*) FROM forest f WHERE f.affinity > w.affinity) >= 100), "
+        "last_ AS (SELECT doc, arg_max(nodes, k) AS nodes, arg_max(labels, k) AS labels FROM grown WHERE k = 0 OR affinity > (SELECT coalesce(t, CAST('inf' AS DOUBLE)) FROM chosen) GROUP BY doc), "
+        "part AS (SELECT unnest(nodes) AS midx, unnest(labels) AS label FROM last_), first_ AS (SELECT m.gold, min(p.label) AS label FROM part p JOIN gm m ON m.midx = p.midx GROUP BY m.gold) "
+        "SELECT g.idx AS gold, c.idx AS component, row_number() OVER (ORDER BY c.idx, g.idx) - 1 AS place FROM first_ f JOIN gn g ON g.pos = f.gold JOIN gn c ON c.pos = f.label", "forest grown gm gn",
+    ),
+}
+BY_HAND["a13_best_threshold"] = (f"WITH swept AS ({BY_HAND['a13_threshold_sweep'][0]}) SELECT * FROM swept ORDER BY ari DESC, threshold LIMIT 1", "grown gm")
+
+
+def merges(weight: str) -> str:
+    """Agglomerative merges in SQL: at each step the pair of a document's parts with the least weighted mean distance."""
+    return (
+        "WITH RECURSIVE dist AS MATERIALIZED (SELECT doc, a, b, d, " + weight + " AS w FROM (SELECT doc, src AS a, dst AS b, round(1 - affinity, 6) AS d, min(round(1 - affinity, 6)) OVER (PARTITION BY doc) AS least_ FROM gp) x), "
+        "hac AS (SELECT doc, CAST(-1 AS BIGINT) AS step, list(midx ORDER BY midx) AS nodes, list(midx ORDER BY midx) AS labels, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS cost FROM gm GROUP BY doc "
+        "UNION ALL SELECT doc, step + 1, nodes, list_transform(labels, lambda x: CASE WHEN x = m.b THEN m.a ELSE x END), m.a, m.b, m.cost FROM ("
+        "SELECT doc, step, any_value(nodes) AS nodes, any_value(labels) AS labels, min({'cost': cost, 'a': la, 'b': lb}) AS m FROM ("
+        "SELECT doc, step, la, lb, any_value(nodes) AS nodes, any_value(labels) AS labels, sum(w * d) / sum(w) AS cost FROM ("
+        "SELECT h.doc, h.step, h.nodes, h.labels, least(x, y) AS la, greatest(x, y) AS lb, w, d FROM (SELECT h.*, d.w, d.d, h.labels[list_position(h.nodes, d.a)] AS x, h.labels[list_position(h.nodes, d.b)] AS y FROM hac h JOIN dist d ON d.doc = h.doc) h WHERE x <> y"
+        ") p GROUP BY doc, step, la, lb) c GROUP BY doc, step) best) "
+        "SELECT h.doc, CAST(h.step AS INTEGER) AS step, a.idx AS a, b.idx AS b, round(h.cost + 1e-9, 6) AS cost FROM hac h JOIN gn a ON a.pos = h.a JOIN gn b ON b.pos = h.b WHERE step >= 0"
+    )
+
+
 def softmax_rows(spark: SparkSession, sf_dir: str, negatives: int = 3) -> DataFrame:
     """Rows of one positive (slot 0) and some negatives for each anchor; both lists, by falling affinity, start again when they end."""
     best = F.struct((-F.col("affinity")).alias("d"), "b")
@@ -156,6 +229,9 @@ KNN_ALL = "SELECT query, neighbour, affinity, rank FROM (SELECT *, CAST(row_numb
 
 QUERIES = {name: query(text) for name, text in TEXTS.items()} | {
     "f4_context_window": text_windows,
+    "p1_global_index": global_index,
+    "b6_cluster_batches": entity_batches,
+    "b3_triplets": anchor_triplets,
     "g1_spanning_forest": lambda s, d: spanning_forest(RELATIONS["mm"](s, d)),
     "g4_entity_partition": lambda s, d: entity_partition(joint_edges(s, d)),
     "g5_joint_accuracy": joint_accuracy,
@@ -166,15 +242,20 @@ QUERIES = {name: query(text) for name, text in TEXTS.items()} | {
     "g8_divisive_partition": lambda s, d: divisive_partition(joint_edges(s, d)),
     "g9_gold_tree_edges": lambda s, d: gold_tree_edges(RELATIONS["mm"](s, d)),
     "g11_exponential_linkage": lambda s, d: agglomerate(RELATIONS["mm"](s, d), "exponential"),
+    "g11_exponential_merges": lambda s, d: agglomerate(RELATIONS["mm"](s, d), "exponential").select("doc", "step", "a", "b", "cost"),
+    "g18_average_merges": lambda s, d: agglomerate(RELATIONS["mm"](s, d)).select("doc", "step", "a", "b", "cost"),
     "g14_single_linkage_pairs": lambda s, d: single_linkage_pairs(RELATIONS["mm"](s, d)),
     "g16_curriculum": batches,
     "g18_average_linkage": lambda s, d: agglomerate(RELATIONS["mm"](s, d)),
     "j16_knn_in_cells": knn_in_cells,
     "j17_knn_all": knn_all,
-}
-#: Forests, merges and the constrained partition have no SQL; tests hold them against brute force.
+} | library.QUERIES | corpora.QUERIES
+#: Approximate search, the divisive partition, weighted pairs and the trained centres have no SQL; tests hold them against plain versions.
 ORACLE = {name: duckdb(_NAME.sub(r"\1", text), set(_NAME.findall(text))) for name, text in TEXTS.items()} | {
     "f4_context_window": TEXT_WINDOWS,
     "b4_softmax_rows": duckdb(SOFTMAX_ROWS, {"ends"}),
     "j17_knn_all": duckdb(KNN_ALL, {"node"}),
+    "g11_exponential_merges": duckdb(merges("exp(-20 * (d - least_))"), {"gp", "gm", "gn"}),
+    "g18_average_merges": duckdb(merges("CAST(1 AS DOUBLE)"), {"gp", "gm", "gn"}),
 }
+ORACLE |= {name: duckdb(text, set(needs.split())) for name, (text, needs) in (BY_HAND | library.ORACLES).items()} | corpora.ORACLES

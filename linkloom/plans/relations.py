@@ -5,6 +5,9 @@ entity = smallest vec_id of a label; mention = any other; doc = vec_id % 20; gol
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +15,9 @@ from pyspark.sql.window import Window
 from linkloom.functions.vectors import dot
 from linkloom.operators.graph import components_by_doc
 from linkloom.operators.knn import knn_join
+from linkloom.operators.lineage import cut
+from linkloom.operators.numbering import dense_index
+from linkloom.sources.corpus import listed_candidates
 
 CANDIDATES = 3
 CUT = 0.2
@@ -47,7 +53,7 @@ def ends(spark: SparkSession, d: str) -> DataFrame:
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Every entity of every mention, ranked: the base of recall at k."""
     m, e = men(spark, d), ent(spark, d)
-    near = knn_join(m.select(F.col("midx").alias("id"), F.col("embedding").alias("vec")), e.select(F.col("eidx").alias("id"), F.col("embedding").alias("vec")), 1000)
+    near = knn_join(m.select(F.col("midx").alias("id"), F.col("embedding").alias("vec")), e.select(F.col("eidx").alias("id"), F.col("embedding").alias("vec")))
     return near.select(F.col("query").alias("midx"), F.col("neighbour").alias("eidx"), "affinity", "rank").join(m.select("midx", "doc", "gold"), "midx")
 
 
@@ -61,7 +67,71 @@ def comp(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumnRenamed("node", "midx").join(m.select("midx", "gold"), "midx")
 
 
-RELATIONS = {f.__name__: f for f in (node, ent, men, mm, ends, scored, cand, comp)}
+_made: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A relation that is made once a session and folder, and read from the shared folder after that: what a corpus is indexed to, as preprocessing leaves it."""
+
+    @functools.wraps(make)
+    def kept(spark: SparkSession, d: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, d, make.__name__)
+        if key not in _made:
+            _made[key] = cut(make(spark, d))
+        return _made[key]
+
+    return kept
+
+
+@once
+def gn(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes by their global index pos: entities first, then mentions; gold is the entity's pos. Entities have no doc and no start_index."""
+    n = node(spark, d).select("idx", "gold", "doc", "embedding")
+    e, m = n.filter("idx = gold"), n.filter("idx <> gold")
+    e = dense_index(e, ["idx"], "pos")
+    gold = e.select("gold", F.col("pos").alias("gold_pos"))
+    m = dense_index(m, ["idx"], "pos", start=e.count()).withColumn("start_index", F.row_number().over(Window.partitionBy("doc").orderBy("idx")) - 1)
+    e = e.withColumn("doc", F.lit(None).cast("long")).withColumn("start_index", F.lit(None).cast("int"))
+    both = e.withColumn("is_entity", F.lit(True)).unionByName(m.withColumn("is_entity", F.lit(False))).join(F.broadcast(gold), "gold")
+    return both.select("pos", "idx", "is_entity", "doc", F.col("gold_pos").alias("gold"), "start_index", "embedding")
+
+
+def gm(spark: SparkSession, d: str) -> DataFrame:
+    return gn(spark, d).filter("not is_entity").select(F.col("pos").alias("midx"), "doc", "gold", "start_index", F.col("embedding").alias("vec"))
+
+
+def ge(spark: SparkSession, d: str) -> DataFrame:
+    return gn(spark, d).filter("is_entity").select(F.col("pos").alias("eidx"), F.col("embedding").alias("vec"))
+
+
+@once
+def gs(spark: SparkSession, d: str) -> DataFrame:
+    """Every entity of every mention by global index."""
+    near = knn_join(gm(spark, d).select(F.col("midx").alias("id"), "vec"), ge(spark, d).select(F.col("eidx").alias("id"), "vec"))
+    return near.select(F.col("query").alias("midx"), F.col("neighbour").alias("eidx"), "affinity", "rank")
+
+
+def lists(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate lists as a corpus has them, by names: the four nearest entities and one that no corpus knows; a seventh of the mentions has no list."""
+    named = gs(spark, d).filter("rank <= 4 and midx % 7 <> 0").groupBy("midx").agg(F.sort_array(F.collect_list(F.struct("rank", "eidx"))).alias("l"))
+    return named.select(F.concat(F.lit("m"), "midx").alias("mention_id"), F.concat(F.transform("l", lambda x: F.concat(F.lit("e"), x["eidx"])), F.array(F.lit("unknown"))).alias("tfidf_candidates"))
+
+
+@once
+def gc(spark: SparkSession, d: str) -> DataFrame:
+    """Those lists by global index."""
+    n = gn(spark, d).select("pos", F.concat(F.when(F.col("is_entity"), "e").otherwise("m"), "pos").alias("uid"))
+    return listed_candidates(lists(spark, d), n.select(F.col("pos").alias("idx"), "uid"))
+
+
+def gp(spark: SparkSession, d: str) -> DataFrame:
+    """``mm`` by global index."""
+    m = gm(spark, d)
+    pairs = m.alias("a").join(m.alias("b"), F.expr("a.doc = b.doc and a.midx < b.midx"))
+    return pairs.select("a.doc", F.col("a.midx").alias("src"), F.col("b.midx").alias("dst"), F.round(dot(F.col("a.vec"), F.col("b.vec")), 6).alias("affinity"), F.expr("a.gold = b.gold").alias("same"))
+
+
+RELATIONS = {f.__name__: f for f in (node, ent, men, mm, ends, scored, cand, comp, gn, gm, ge, gs, gc, gp)}
 
 _DOT = "round(list_inner_product(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[])), 6)"
 SQL = {
@@ -72,12 +142,57 @@ SQL = {
     "ends": (("mm",), "SELECT doc, src AS a, dst AS b, affinity, same FROM mm UNION ALL SELECT doc, dst, src, affinity, same FROM mm"),
     "scored": (("men", "ent"), f"SELECT *, CAST(row_number() OVER (PARTITION BY midx ORDER BY affinity DESC, eidx) AS INTEGER) AS rank FROM (SELECT m.midx, e.eidx, {_DOT.format(a='m', b='e')} AS affinity, m.doc, m.gold FROM men m, ent e)"),
     "cand": (("scored",), f"SELECT * FROM scored WHERE rank <= {CANDIDATES}"),
+    "gn": (("node",), "SELECT row_number() OVER (PARTITION BY idx = gold ORDER BY idx) - 1 + CASE WHEN idx = gold THEN 0 ELSE (SELECT count(*) FROM node WHERE idx = gold) END AS pos, idx, idx = gold AS is_entity, CASE WHEN idx <> gold THEN doc END AS doc, "
+     "(SELECT count(*) FROM node e WHERE e.idx = e.gold AND e.idx < node.gold) AS gold, CASE WHEN idx <> gold THEN CAST(row_number() OVER (PARTITION BY idx = gold, doc ORDER BY idx) - 1 AS INTEGER) END AS start_index, embedding FROM node"),
+    "gm": (("gn",), "SELECT pos AS midx, doc, gold, start_index, embedding FROM gn WHERE NOT is_entity"),
+    "ge": (("gn",), "SELECT pos AS eidx, embedding FROM gn WHERE is_entity"),
+    "gs": (("gm", "ge"), f"SELECT *, CAST(row_number() OVER (PARTITION BY midx ORDER BY affinity DESC, eidx) AS INTEGER) AS rank FROM (SELECT m.midx, e.eidx, {_DOT.format(a='m', b='e')} AS affinity FROM gm m, ge e)"),
+    "gc": (("gs",), "SELECT midx, CAST(rank - 1 AS INTEGER) AS place, eidx FROM gs WHERE rank <= 4 AND midx % 7 <> 0"),
+    "gp": (("gm",), f"SELECT a.doc, a.midx AS src, b.midx AS dst, {_DOT.format(a='a', b='b')} AS affinity, a.gold = b.gold AS same FROM gm a JOIN gm b ON a.doc = b.doc AND a.midx < b.midx"),
     "links": (("mm",), f"SELECT src AS u, dst AS v FROM mm WHERE affinity > {CUT} UNION ALL SELECT dst, src FROM mm WHERE affinity > {CUT}"),
     "reach": (("links", "men"), "SELECT midx AS n, midx AS r FROM men UNION SELECT l.v, reach.r FROM reach JOIN links l ON l.u = reach.n"),
     "comp": (("reach",), "SELECT m.midx, m.doc, c.component, m.gold FROM men m JOIN (SELECT n, min(r) AS component FROM reach GROUP BY n) c ON c.n = m.midx"),
 }
 
 
+def joint(name: str, links: str, needs: tuple[str, ...]) -> None:
+    """Adds the constrained way through a document's forest and ``links``: a part that has an entity carries its label, -1 - eidx, and two of these do not meet."""
+    SQL[f"joint{name}"] = (("forest", "gm", *needs), f"SELECT doc, src, dst, affinity, false AS to_entity FROM forest UNION ALL SELECT m.doc, s.eidx, s.midx, s.affinity, true FROM ({links}) s JOIN gm m ON m.midx = s.midx")
+    SQL[f"jsteps{name}"] = ((f"joint{name}",), f"SELECT *, row_number() OVER (PARTITION BY doc ORDER BY affinity DESC, src, dst) AS k FROM joint{name}")
+    SQL[f"bound{name}"] = (
+        (f"jsteps{name}",),
+        "SELECT doc, CAST(0 AS BIGINT) AS k, list(midx ORDER BY midx) AS nodes, list(midx ORDER BY midx) AS labels FROM gm GROUP BY doc "
+        "UNION ALL SELECT doc, k, nodes, CASE WHEN lu = lv OR (lu < 0 AND lv < 0) THEN labels ELSE list_transform(labels, lambda x: CASE WHEN x = greatest(lu, lv) THEN least(lu, lv) ELSE x END) END "
+        f"FROM (SELECT b.doc, s.k, b.nodes, b.labels, CASE WHEN s.to_entity THEN -1 - s.src ELSE b.labels[list_position(b.nodes, s.src)] END AS lu, b.labels[list_position(b.nodes, s.dst)] AS lv FROM bound{name} b JOIN jsteps{name} s ON s.doc = b.doc AND s.k = b.k + 1) x",
+    )
+    SQL[f"parted{name}"] = ((f"bound{name}",), f"SELECT doc, mention, CASE WHEN label < 0 THEN -1 - label END AS entity FROM (SELECT doc, unnest(nodes) AS mention, unnest(labels) AS label FROM (SELECT doc, arg_max(nodes, k) AS nodes, arg_max(labels, k) AS labels FROM bound{name} GROUP BY doc) x) y")
+    RECURSIVE.add(f"bound{name}")
+
+
+def kruskal(name: str, pairs: str, needs: tuple[str, ...]) -> None:
+    """Adds the way through each document's ``pairs`` by falling affinity, one after the other: labels are those of its nodes, in order; ``was`` before the step."""
+    SQL[f"steps{name}"] = (needs, f"SELECT doc, src, dst, affinity, row_number() OVER (PARTITION BY doc ORDER BY affinity DESC, src, dst) AS k FROM ({pairs}) p")
+    none = "CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, CAST(NULL AS DOUBLE) AS affinity, false AS kept, CAST(NULL AS BIGINT) AS lu, CAST(NULL AS BIGINT) AS lv"
+    own = "list(midx ORDER BY midx)"
+    SQL[f"grown{name}"] = (
+        (f"steps{name}", "gm"),
+        f"SELECT doc, CAST(0 AS BIGINT) AS k, {own} AS nodes, {own} AS labels, {none}, {own} AS was FROM gm GROUP BY doc "
+        "UNION ALL SELECT doc, k, nodes, CASE WHEN lu <> lv THEN list_transform(labels, lambda x: CASE WHEN x = greatest(lu, lv) THEN least(lu, lv) ELSE x END) ELSE labels END, src, dst, affinity, lu <> lv, lu, lv, labels "
+        f"FROM (SELECT g.doc, s.k, g.nodes, g.labels, s.src, s.dst, s.affinity, g.labels[list_position(g.nodes, s.src)] AS lu, g.labels[list_position(g.nodes, s.dst)] AS lv FROM grown{name} g JOIN steps{name} s ON s.doc = g.doc AND s.k = g.k + 1) x",
+    )
+    SQL[f"forest{name}"] = ((f"grown{name}",), f"SELECT doc, src, dst, affinity FROM grown{name} WHERE kept")
+    RECURSIVE.add(f"grown{name}")
+
+
+RECURSIVE = {"reach"}
+kruskal("", "SELECT doc, src, dst, affinity FROM gp", ("gp",))
+kruskal("_gold", "SELECT doc, src, dst, affinity FROM gp WHERE same", ("gp",))
+joint("", "SELECT midx, eidx, affinity FROM gs WHERE rank = 1", ("gs",))
+#: Each mention's best candidate, or the first entity at minus infinity.
+SQL["glink"] = (("gm", "gc", "gs"), "SELECT m.midx, m.doc, m.gold, coalesce(c.eidx, 0) AS eidx, coalesce(s.affinity, CAST('-inf' AS DOUBLE)) AS affinity, c.eidx IS NULL AS missing FROM gm m LEFT JOIN (SELECT * FROM gc WHERE place = 0) c ON c.midx = m.midx LEFT JOIN gs s ON s.midx = c.midx AND s.eidx = c.eidx")
+joint("2", "SELECT midx, eidx, affinity FROM glink", ("glink",))
+
+
 def duckdb(body: str, names: set[str]) -> str:
     order: list[str] = []
 
@@ -89,5 +204,7 @@ def duckdb(body: str, names: set[str]) -> str:
 
     for name in sorted(names):
         need(name)
-    ctes = ", ".join(f"{n} AS ({SQL[n][1]})" for n in order)
-    return f"WITH RECURSIVE {ctes} {'' if not body.lstrip().upper().startswith('WITH') else ', '}{body.lstrip()[4:] if body.lstrip().upper().startswith('WITH') else body}"
+    ctes = ", ".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({SQL[n][1]})" for n in order)
+    if not body.lstrip().upper().startswith("WITH"):
+        return f"WITH RECURSIVE {ctes} {body}"
+    return f"WITH RECURSIVE {ctes}, {body.lstrip()[4:].lstrip().removeprefix('RECURSIVE ')}"
