@@ -34,6 +34,16 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores where its rows lie in fewer partitions than there are cores: a row group is one task, however long its texts take.
+
+    Counting the partitions reads no column of a file. What fills the cores, as any large input does, stays as it lies.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    filled = docs.select(F.spark_partition_id()).distinct().count()
+    return docs.repartition(cores) if filled < cores else docs
+
+
 def dealt(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int, int]:
     """(grp, doc_id, text as bytes), dealt into groups of about ``group_bytes``; the bytes of all texts; and the partitions that hold the groups.
 

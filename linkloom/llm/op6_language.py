@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 from pyspark.sql.window import Window
 
-from linkloom.llm._docs import table
+from linkloom.llm._docs import spread, table
 from linkloom.llm._spark import bounded_batches, checkpointed, released
 
 #: N-grams in a profile.
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     profiles = learn(docs.filter(~held_out()))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return identify(slim, profiles).select("doc_id", "held_out", "lang_pred", "score")
