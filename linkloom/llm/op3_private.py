@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm._docs import table
+from linkloom.llm._docs import spread, table
 from linkloom.llm._spark import checkpointed, forget, small
 
 KINDS = ("email", "ip", "card", "phone")
@@ -73,18 +73,22 @@ def cut(parts: Column, start: Column, length: Column, size: int = 1024) -> Colum
     return F.when(length <= 0, F.lit("")).otherwise(F.substr(F.array_join(F.slice(parts, first + 1, F.ceil((inside + length) / size).cast("int")), ""), inside + 1, length))
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's matches, leftmost and non-overlapping, in code points. Places are a running sum of what lies before."""
+def steps(text: Column, pattern: str) -> Column:
+    """array<struct<gap, size, value>> of a pattern's matches, leftmost and non-overlapping, with the code points between each and the one before."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), h.alias("value")))
+    return F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), h.alias("value")))
+
+
+def located(*each: Column) -> Column:
+    """An array<struct<start, end, value>> for each of some ``steps``, in code points. Places are a running sum of what lies before; its plan is made once for all."""
 
     def placed(all_: Column) -> Column:
         before = running(F.transform(all_, lambda x: x["gap"] + x["size"]), added)
         spot = lambda x, b: F.struct((b + x["gap"]).alias("start"), (b + x["gap"] + x["size"]).alias("end"), x["value"].alias("value"))
         return F.zip_with(all_, F.slice(before, 1, F.size(all_)), spot)
 
-    # The steps stand in an array of one, so that they are made once and not for each match.
-    return F.flatten(F.transform(F.array(steps), placed))
+    # The steps stand in an array, so that they are made once and not for each match.
+    return F.transform(F.array(*each), placed)
 
 
 def luhn(digits: Column) -> Column:
@@ -112,15 +116,17 @@ def entities(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
         first = text.rlike(ASSIGNED if kind == SECRET else PATTERNS[kind].replace(r"\G|", ""))
         if NEEDS[kind]:
             first = text.contains(NEEDS[kind]) & first
-        spans = located(text, PATTERNS[kind])
+        return F.when(first, steps(text, PATTERNS[kind])).otherwise(F.array().cast("array<struct<gap:int,size:int,value:string>>"))
+
+    def checked(kind: str, spans: Column) -> Column:
         if kind == SECRET:  # the value alone, at the end of what matched
             value = lambda s: F.regexp_extract(s["value"], PATTERNS[SECRET], 1)
             spans = F.transform(spans, lambda s: F.struct((s["end"] - F.length(value(s))).alias("start"), s["end"].alias("end"), value(s).alias("value")))
         spans = F.filter(spans, lambda s: valid(kind, s["value"]))
-        spans = F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-        return F.when(first, spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
+        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
-    return F.concat(*map(of, kinds))
+    every = lambda w: F.concat(*(checked(kind, F.get(w, F.lit(i))) for i, kind in enumerate(kinds)))
+    return F.flatten(F.transform(F.array(located(*map(of, kinds))), every))
 
 
 def rewritten(text: Column, spans: Column, instead) -> Column:
@@ -153,7 +159,7 @@ def words(text: Column) -> Column:
 def occurrences(text: Column, terms: Column) -> Column:
     """array<struct<kind, start, end>> of all places of the terms in a text, in one pass over its words."""
     here = lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    return F.transform(F.filter(located(text, TERM), lambda s: F.array_contains(terms, F.lower(s["value"]))), here)
+    return F.transform(F.filter(F.get(located(steps(text, TERM)), F.lit(0)), lambda s: F.array_contains(terms, F.lower(s["value"]))), here)
 
 
 def disclosing(texts: DataFrame, support: int, share: float) -> DataFrame | None:
@@ -180,7 +186,7 @@ def private_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE)
 
     A null or empty text has no spans. Repeated rows get the same spans each. Spans of different kinds may overlap, but no term lies in a base span. Other columns are not read; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), "text", entities(F.col("text"), (*KINDS, SECRET)).alias("found"))
     named = F.array_distinct(F.transform("found", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
     texts = checkpointed(docs.select("same", named.alias("entities"), words(cleared(F.col("text"), F.col("found"))).alias("words")).dropDuplicates(["same"]))
