@@ -17,6 +17,7 @@ import brute
 import corpus_pipeline
 
 from linkloom.llm import op3_private, op4_mixing, op5_minhash, op6_language, op7_decontaminate, op8_sharding, queries, stages
+from linkloom.llm._docs import spread
 from linkloom.llm.licences import NOTICES, PHRASES
 from linkloom.llm.lyndon import lyndon_sort
 from linkloom.llm.op1_suffix_dedup import suffix_dedup
@@ -392,6 +393,16 @@ def test_hamming_of_any_length(spark, monkeypatch):
     same(hamming_top_k(e).collect(), want)
 
 
+def test_spread_keeps_all_rows(spark):
+    rows = [(i % 7 or None, f"text {i % 5}" if i % 3 else None) for i in range(200)]
+    one = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    many = spread(one)
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, one.collect()))
+    assert many.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+    assert spread(many) is many
+    assert spread(one.limit(0)).count() == 0
+
+
 def test_empty_tables(spark, df):
     none = df.limit(0)
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
