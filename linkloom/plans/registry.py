@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions.text import context_window, span, tokens
+from linkloom.operators.dense import document_near, document_pairs
 from linkloom.operators.graph import divisive_partition, entity_partition, spanning_forest
 from linkloom.operators.knn import knn_join, knn_join_cells
-from linkloom.operators.linkage import agglomerate, best_threshold, curriculum, gold_tree_edges, single_linkage_pairs, threshold_sweep
+from linkloom.operators.linkage import agglomerate_vectors, best_threshold, curriculum, gold_tree_edges, single_linkage_pairs, threshold_sweep
+from linkloom.operators.lineage import cut
 from linkloom.operators.numbering import dense_index
 from linkloom.operators.pairs import triplets
 from linkloom.plans import corpora, library
+from linkloom.plans.evaluation import expanded_by
 from linkloom.plans.examples import TEXTS as EXAMPLES
-from linkloom.plans.relations import RELATIONS, duckdb
+from linkloom.plans.relations import RELATIONS, duckdb, mm_forest, mm_nodes
 
 TEXTS = {
     "p4_mention_entity_edges": "SELECT midx, eidx, affinity FROM {cand} WHERE eidx <> gold",
@@ -115,7 +118,7 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = RELATIONS["men"](spark, sf_dir).select("doc", F.col("midx").alias("node"), "gold")
-    return curriculum(m, RELATIONS["mm"](spark, sf_dir), 100)
+    return curriculum(m, cut(mm_forest(spark, sf_dir)), 100)
 
 
 def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
