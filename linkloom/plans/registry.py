@@ -113,7 +113,7 @@ def partition_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = RELATIONS["men"](spark, sf_dir).select("doc", F.col("midx").alias("node"), "gold")
-    return threshold_sweep(m, RELATIONS["mm"](spark, sf_dir))
+    return threshold_sweep(m, mm_forest(spark, sf_dir))
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
