@@ -244,12 +244,12 @@ QUERIES = {name: query(text) for name, text in TEXTS.items()} | {
     "b4_softmax_rows": softmax_rows,
     "g8_divisive_partition": lambda s, d: divisive_partition(joint_edges(s, d)),
     "g9_gold_tree_edges": lambda s, d: gold_tree_edges(RELATIONS["mm"](s, d)),
-    "g11_exponential_linkage": lambda s, d: agglomerate(RELATIONS["mm"](s, d), "exponential"),
-    "g11_exponential_merges": lambda s, d: agglomerate(RELATIONS["mm"](s, d), "exponential").select("doc", "step", "a", "b", "cost"),
-    "g18_average_merges": lambda s, d: agglomerate(RELATIONS["mm"](s, d)).select("doc", "step", "a", "b", "cost"),
+    "g11_exponential_linkage": lambda s, d: agglomerate_vectors(mm_nodes(s, d), "exponential"),
+    "g11_exponential_merges": lambda s, d: agglomerate_vectors(mm_nodes(s, d), "exponential").select("doc", "step", "a", "b", "cost"),
+    "g18_average_merges": lambda s, d: agglomerate_vectors(mm_nodes(s, d)).select("doc", "step", "a", "b", "cost"),
     "g14_single_linkage_pairs": lambda s, d: single_linkage_pairs(RELATIONS["mm"](s, d)),
     "g16_curriculum": batches,
-    "g18_average_linkage": lambda s, d: agglomerate(RELATIONS["mm"](s, d)),
+    "g18_average_linkage": lambda s, d: agglomerate_vectors(mm_nodes(s, d)),
     "j16_knn_in_cells": knn_in_cells,
     "j17_knn_all": knn_all,
 } | library.QUERIES | corpora.QUERIES
