@@ -133,6 +133,19 @@ def entity_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(RELATIONS["ent"](spark, sf_dir).select("eidx"), ["eidx"], "place").select("eidx", F.floor(F.col("place") / 4).cast("long").alias("batch"))
 
 
+def two_hop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best entities of a mention's five nearest in its document, less its own candidates."""
+    best, own = (RELATIONS[x](spark, sf_dir) for x in ("scored", "cand"))
+    near = document_near(mm_nodes(spark, sf_dir), 5).select(F.col("a").alias("midx"), F.col("b").alias("near"))
+    return expanded_by(near, best, own)
+
+
+def symmetric_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each edge above the threshold from either end, of one pass over the pairs."""
+    pair = F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))
+    return document_pairs(mm_nodes(spark, sf_dir), above=0.2).select("doc", pair.alias("e"), "affinity").select("doc", "e.a", "e.b", "affinity")
+
+
 def anchor_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cluster, anchor, pos, neg) of each mention within its document, both lists by falling affinity."""
     best = F.struct((-F.col("affinity")).alias("d"), "b")
@@ -231,6 +244,8 @@ KNN_ALL = "SELECT query, neighbour, affinity, rank FROM (SELECT *, CAST(row_numb
 
 
 QUERIES = {name: query(text) for name, text in TEXTS.items()} | {
+    "p14_symmetric_closure": symmetric_closure,
+    "j7_two_hop_candidates": two_hop_candidates,
     "f4_context_window": text_windows,
     "p1_global_index": global_index,
     "b6_cluster_batches": entity_batches,
