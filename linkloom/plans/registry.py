@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions.text import context_window, span, tokens
-from linkloom.operators.dense import document_near, document_pairs
+from linkloom.operators.dense import document_ends, document_near
 from linkloom.operators.graph import divisive_partition, entity_partition, spanning_forest
 from linkloom.operators.knn import knn_join, knn_join_cells
 from linkloom.operators.linkage import agglomerate_vectors, best_threshold, curriculum, gold_tree_edges, single_linkage_pairs, threshold_sweep
@@ -142,8 +142,7 @@ def two_hop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def symmetric_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each edge above the threshold from either end, of one pass over the pairs."""
-    pair = F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))
-    return document_pairs(mm_nodes(spark, sf_dir), above=0.2).select("doc", pair.alias("e"), "affinity").select("doc", "e.a", "e.b", "affinity")
+    return document_ends(mm_nodes(spark, sf_dir), 0.2)
 
 
 def anchor_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

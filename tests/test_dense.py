@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from linkloom.functions.vectors import dot
 from linkloom.operators import dense
+from linkloom.operators.graph import Union as dense_union
 from linkloom.operators.graph import spanning_forest
 from linkloom.operators.knn import knn_without
 from linkloom.operators.linkage import agglomerate, agglomerate_vectors, exponential_pairs, exponential_pairs_of_vectors, threshold_candidates, threshold_sweep
@@ -164,3 +165,36 @@ def test_heads_round_as_floats(spark, tmp_path):
     spark.createDataFrame(rows_, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     want = ",".join(str(int(np.floor(np.float32(x) * np.float32(1000) + np.float32(0.5)))) for x in rows_[0][1])
     assert {r["head"] for r in QUERIES["s7_example_lookup"](spark, str(tmp_path)).collect()} == {want}
+
+
+def test_ends(vectors, pairs, small):
+    """Pairs above an affinity, from either end and out of the tiles so."""
+    near = pairs.filter("affinity > 0.3")
+    want = near.select("doc", "src", "dst", "affinity").union(near.select("doc", "dst", "src", "affinity"))
+    assert rows(dense.document_ends(vectors[1], 0.3)) == rows(want)
+    # 0.5 x 0.4000005 is a half of the last place, and rounds up to more than what it is.
+    x, y = (dense.Rows([(np.zeros(n, int), np.arange(n), np.zeros(n, int), np.array(v), np.full(n, 2))]) for n, v in ((1, [[0.5, 0.0]]), (2, [[0.400001, 0.0], [0.4, 0.0]])))
+    assert [c.tolist() for c in x.over(y, dense.products, 0.2)] == [[0], [0], [0.200001]]
+
+
+def test_closure_makes_no_rows_after_its_tiles(spark):
+    plan = QUERIES_ALL["p14_symmetric_closure"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan.split("MapInArrow")[0]
+
+
+def test_best_tree_of_ties():
+    """The edges that Kruskal takes, whatever ties and missing affinities there are."""
+    draw = np.random.default_rng(3)
+    for whole in (True, False):
+        for _ in range(60):
+            r, c = draw.integers(1, 12, 2)
+            s = draw.integers(0, 4, (r, r if whole else c)).astype(float)
+            s[draw.random(s.shape) < 0.2] = dense.NONE
+            s = np.maximum(s, s.T) if whole else s
+            edges = [(-s[u, v if whole else v - r], u, v) for u in range(r) for v in (range(u + 1, r) if whole else range(r, r + c))]
+            parts, want = dense_union(), set()
+            for _, u, v in sorted(edges):
+                if parts.root(u) != parts.root(v):
+                    parts.join(u, v)
+                    want.add((u, v))
+            assert set(zip(*(x.tolist() for x in dense.best_tree(s, whole)), strict=True)) == want
